@@ -70,9 +70,10 @@ def fold_patches(patches: DataFrame, key: str = "prediction_id", order: Iterable
     The label comes from the last patch; prediction and errors from the last
     patch that brought a prediction, so a later patch without one keeps them.
     ``label_order`` and ``error_order`` remember what each part came from, and
-    let folded patches be folded again with newer or late ones.
+    let folded patches be folded again with newer or late ones. Patches of the
+    same instant rank by their values, so arrival order never matters.
     """
-    at = F.struct(*order)
+    at = F.struct(*order, REAL, PATCH_PRED)
     if "label_order" in patches.columns:
         label_at, error_at = F.col("label_order"), F.col("error_order")
     else:

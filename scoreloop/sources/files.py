@@ -64,9 +64,9 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A Parquet table, or an empty one with this schema when it does not exist."""
+    """A Parquet table read with this schema; empty when it does not exist."""
     if exists(spark, path):
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
 
 

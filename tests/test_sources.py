@@ -1,0 +1,141 @@
+"""Files, versioned data sets, feature groups, views, registry round trips."""
+
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from scoreloop.session import scratch_dir
+from scoreloop.sources import feature_groups as G
+from scoreloop.sources.feature_store import FeatureStore, dated_version, metadata_frame
+from scoreloop.sources.files import append_log, child_dirs, exists, make_dataset, read_csv, read_optional, write_csv
+
+SCHEMA = "user_id string, email string, timestamp timestamp, value double"
+
+
+def day(d, v, who="a"):
+    return (who, f"{who}@x.y", datetime(2024, 1, d, 12), v)
+
+
+def test_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a,"b"', 2.5), (2, None, None)], "i int, s string, d double")
+    path = str(tmp_path / "t.csv")
+    write_csv(df, path)
+    assert sorted(read_csv(spark, path, df.schema).collect()) == sorted(df.collect())
+    assert dict(read_csv(spark, path).dtypes)["d"] == "double"
+    with pytest.raises(FileNotFoundError):
+        read_csv(spark, str(tmp_path / "none.csv"))
+
+
+def test_make_dataset(spark, tmp_path):
+    df = spark.createDataFrame([(35, 75.0, 1.78)], "age int, weight_kg double, height_m double")
+    write_csv(df, str(tmp_path / "raw"))
+    out = make_dataset(spark, str(tmp_path / "raw"), str(tmp_path / "interim"), log_kind="ln")
+    assert out.columns == ["age", "weight_kg", "height_m", "bmi", "log_age"]
+    assert out.first()["log_age"] == pytest.approx(3.5553480614894135)
+
+
+def test_append_and_optional(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = spark.createDataFrame([(1, "a")], "i int, s string")
+    assert read_optional(spark, path, df.schema).count() == 0
+    append_log(df, path)
+    append_log(df.select("s", "i"), path)
+    assert read_optional(spark, path, df.schema).collect() == [(1, "a"), (1, "a")]
+    with pytest.raises(ValueError):
+        append_log(df.withColumn("x", F.lit(1)), path)
+
+
+def test_versions(spark, tmp_path):
+    store = FeatureStore(spark, str(tmp_path))
+    df = spark.createDataFrame([(i, float(i)) for i in range(10)], "i int, v double")
+    for v in ("v1", "v1_2025-01-02", "v1_2025-01-10", "v2_2025-02-01"):
+        store.save(df.withColumn("from", F.lit(v)), "people", v)
+    assert store.versions("people") == ["v1", "v1_2025-01-02", "v1_2025-01-10", "v2_2025-02-01"]
+    assert [r["version"] for r in store.versions_frame("people").collect()] == store.versions("people")
+    assert store.latest("people") == "v1_2025-01-10" and store.latest("people", "v3") is None
+    assert store.versions("nobody") == [] and store.latest("nobody") is None
+    assert store.load("people").first()["from"] == "v1"
+    assert store.load("people", latest_if_available=True).first()["from"] == "v1_2025-01-10"
+    dated = store.load("people", use_date=True, latest_if_available=True, on=date(2025, 1, 2))
+    assert dated.first()["from"] == "v1_2025-01-02"
+    for args in ({"version": "v9"}, {"version": "v9", "latest_if_available": True}, {"use_date": True, "on": date(2020, 1, 1)}):
+        with pytest.raises(FileNotFoundError):
+            store.load("people", **args)
+    assert store.save(df, "people", None, on=date(2025, 3, 1)).endswith("/people/v1_2025-03-01/data")
+    assert dated_version("v2", date(2025, 1, 1)) == "v2_2025-01-01"
+    sample = store.save_inference_sample(df, "people", "i", n_rows=3)
+    assert sorted(r["i"] for r in spark.read.parquet(sample).collect()) == [7, 8, 9]
+    meta = store.track_metadata(df, "people", "v1", datetime(2025, 1, 1, 9, 8, 7, 6))
+    assert meta == store.metadata("people", "v1") == {
+        "version": "v1", "created": "2025-01-01T09:08:07", "rows": 10, "columns": ["i", "v"],
+        "dtypes": {"i": "int", "v": "double"},
+    }
+    assert metadata_frame(df, "v1").collect() == [("v1", 10, 0, "i", "int"), ("v1", 10, 1, "v", "double")]
+
+
+@pytest.mark.parametrize("partition", ["date", None])
+def test_keyed_insert(spark, tmp_path, partition):
+    root = str(tmp_path)
+    spec = G.TableSpec("g", 1, ("user_id", "email"), "timestamp", partition, buckets=4)
+    first = spark.createDataFrame([day(1, 1.0), day(2, 2.0), day(2, 5.0, "b"), ("n", None, None, 7.0)], SCHEMA)
+    G.insert(spark, root, spec, first)
+    untouched = {p for p in (tmp_path / "g/v=1/data").glob("date=2024-01-01/*.parquet")}
+    G.insert(spark, root, spec, spark.createDataFrame([day(2, 9.0), day(3, 3.0), day(3, 4.0), ("n", None, None, 8.0)], SCHEMA))
+    got = G.read_group(spark, root, "g")
+    values = {(r["user_id"], r["timestamp"] and r["timestamp"].day): r["value"] for r in got.collect()}
+    assert values == {("a", 1): 1.0, ("a", 2): 9.0, ("b", 2): 5.0, ("a", 3): 4.0, ("n", None): 8.0}
+    assert got.count() == 5
+    if partition:
+        assert dict(got.dtypes)["date"] == "string"
+        assert untouched == {p for p in (tmp_path / "g/v=1/data").glob("date=2024-01-01/*.parquet")}
+    before = sorted(got.collect(), key=str)
+    G.insert(spark, root, spec, spark.createDataFrame([day(3, 3.0), day(3, 4.0)], SCHEMA))
+    assert sorted(G.read_group(spark, root, "g").collect(), key=str) == before
+    with pytest.raises(ValueError, match="not in feature group"):
+        G.insert(spark, root, spec, first.withColumn("surprise", F.lit(1)))
+
+
+def test_create_or_get(spark, tmp_path):
+    root = str(tmp_path)
+    spec = G.TableSpec("g", 1, ("user_id",), "timestamp", "date")
+    G.create_or_get(spark, root, spec, "user_id string, timestamp timestamp")
+    again = G.create_or_get(spark, root, G.TableSpec("g", 1, ("other",)), "x int")
+    assert again.primary_key == ("user_id",) and again.partition_key == "date"
+    assert G.read_group(spark, root, "g").columns == ["user_id", "timestamp", "date"]
+    with pytest.raises(FileNotFoundError):
+        G.read_group(spark, root, "none")
+
+
+def test_backfill_and_views(spark, tmp_path):
+    root = str(tmp_path / "root")
+    assert G.backfill(spark, root, G.PREDICTION_GROUP, str(tmp_path / "none")) == 0
+    history = spark.createDataFrame(
+        [("u", "e", "2024-01-01 10:00:00", 30, 20.0), ("v", "f", "bad", 40, None)],
+        "user_id string, email string, timestamp string, age int, real_fat_percentage double",
+    )
+    write_csv(history, str(tmp_path / "h"))
+    G.backfill(spark, root, G.PREDICTION_GROUP, str(tmp_path / "h"), history.schema)
+    got = G.read_group(spark, root, "user_fat_percentage")
+    assert {(r["user_id"], r["date"]) for r in got.collect()} == {("u", "2024-01-01"), ("v", None)}
+    assert G.view_features(got) == ["age"]
+    G.create_or_get_view(spark, root, "fv", G.PREDICTION_GROUP, ["age"], ["real_fat_percentage"], ["user_id"])
+    stored = G.create_or_get_view(spark, root, "fv", G.PREDICTION_GROUP, ["other"])
+    assert stored["features"] == ["age"]
+    assert G.read_view(spark, root, "fv").columns == ["age", "real_fat_percentage", "user_id"]
+    assert spark.table("fv").count() == 2
+
+
+def test_sync_skips_what_is_absent(spark, tmp_path):
+    fb = spark.createDataFrame([("A@b.C", "2024-01-01T10:00:00+00:00", 20.0)], "email string, timestamp string, real_fat_percentage double")
+    assert G.sync_logs(spark, str(tmp_path), None, fb.limit(0)) == (0, 0)
+    assert G.sync_logs(spark, str(tmp_path), None, fb) == (0, 1)
+    assert G.read_group(spark, str(tmp_path), "user_fat_feedback").first()["user_id"] == "d648b243a3e817ea"
+
+
+def test_paths(spark, tmp_path):
+    (tmp_path / "x/b").mkdir(parents=True)
+    (tmp_path / "x/a").mkdir()
+    (tmp_path / "x/file").write_text("")
+    assert child_dirs(spark, str(tmp_path / "x")) == ["a", "b"] and exists(spark, str(tmp_path / "x/file"))
+    assert scratch_dir(spark, "t").startswith(spark.conf.get("spark.checkpoint.dir"))
