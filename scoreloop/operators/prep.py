@@ -100,14 +100,16 @@ class ModeImputer(_ColumnsEstimator):
 class SortedIndexer(_ColumnsEstimator):
     """Text to label index, labels in sorted order, unknown and missing last."""
 
-    def _fit(self, dataset: DataFrame) -> StringIndexerModel:
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
         vocabulary = vocabularies(dataset, self.columns())
-        return StringIndexerModel.from_arrays_of_labels(
-            [vocabulary[c] for c in self.columns()],
-            inputCols=self.columns(),
-            outputCols=[self.output(c) for c in self.columns()],
-            handleInvalid="keep",
-        )
+        # One model per column: label lists of different lengths do not pass
+        # through the many-column constructor.
+        return PipelineModel([
+            StringIndexerModel.from_labels(
+                vocabulary[c], inputCol=c, outputCol=self.output(c), handleInvalid="keep"
+            )
+            for c in self.columns()
+        ])
 
 
 def scale_stats(df: DataFrame, columns: Iterable[str]) -> DataFrame:
