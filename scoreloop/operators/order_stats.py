@@ -9,6 +9,7 @@ in that remainder, or next to it, with exact counts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,71 +26,70 @@ def order_statistics(
     accuracy: int = ACCURACY,
     small: int = SMALL,
     slack: float = 0.0,
+    extra: Iterable[Column] = (),
 ) -> DataFrame:
     """Elements at given ranks of ``value`` per ``column``.
 
     ``long`` has columns (column, value) without NULLs. Each target is
     (label, probability near the rank, row count -> 0-based rank). Result:
     (column, target, n, rank, at_rank, next), ``next`` being the following
-    element in order. Groups with at most ``small`` rows are bracketed whole;
-    ``slack`` widens the brackets where a rank is not exactly probability * n.
+    element in order, and any ``extra`` aggregates of the column. Groups with
+    at most ``small`` rows are bracketed whole; ``slack`` widens the brackets
+    where a rank is not exactly probability * n.
     """
-    targets = list(targets)
+    targets, extra = list(targets), list(extra)
     slack += 2.0 / accuracy
     points: list[float] = []
     for _, p, _ in targets:
         points += [max(0.0, p - slack), min(1.0, p + slack)]
     sketch = long.groupBy("column").agg(
-        F.count("value").alias("n"), F.percentile_approx("value", points, accuracy).alias("edges")
+        F.count("value").alias("n"),
+        F.percentile_approx("value", points, accuracy).alias("edges"),
+        F.struct(*(extra or [F.lit(0).alias("none")])).alias("extra"),
     )
-    n = F.col("n")
-    wanted = F.array(*[
-        F.struct(
-            F.lit(label).alias("target"),
-            rank(n).cast("bigint").alias("rank"),
-            F.when(n > small, F.col("edges")[2 * i]).alias("lo"),
-            F.when(n > small, F.col("edges")[2 * i + 1]).alias("hi"),
-        )
-        for i, (label, _, rank) in enumerate(targets)
-    ])
-    brackets = sketch.select("column", "n", F.inline(wanted))
-
-    v = F.col("value")
-    zone = F.when(v < F.col("lo"), -1).when(v > F.col("hi"), 1).otherwise(0)
+    # One row per column, used twice below: as a scalar subquery it runs once.
+    entry = F.struct("column", F.struct("n", "edges", "extra").alias("s"))
+    stats = sketch.agg(F.map_from_entries(F.collect_list(entry)).alias("stats")).scalar()
+    n, v = F.col("s.n"), F.col("value")
+    # Every value falls into one zone: between two brackets, or inside one.
+    # Zones number the line from left to right.
+    lows = [F.col("s.edges")[2 * i] for i in range(len(targets))]
+    highs = [F.col("s.edges")[2 * i + 1] for i in range(len(targets))]
+    zone = sum([(v >= lo).cast("int") + (v > hi).cast("int") for lo, hi in zip(lows, highs)], F.lit(0))
+    inside = reduce(lambda a, b: a | b, [v.between(lo, hi) for lo, hi in zip(lows, highs)])
     kept = (
-        long.join(F.broadcast(brackets), "column")
-        .withColumn("zone", zone)
-        .withColumn("inside", F.when(F.col("zone") == 0, v))
-        .groupBy("column", "target", "n", "rank", "zone", "inside")
+        long.withColumn("s", stats[F.col("column")])
+        .select("column", v, zone.alias("zone"), F.when((n <= small) | inside, v).alias("inside"))
+        .groupBy("column", "zone", "inside")
         .agg(F.count(F.lit(1)).alias("c"), F.min(v).alias("low"), F.max(v).alias("high"))
     )
-    order = Window.partitionBy("column", "target").orderBy("zone", "inside")
-    ends = kept.withColumn("end", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    start, end = F.col("end") - F.col("c"), F.col("end")
+    order = Window.partitionBy("column").orderBy("zone", "inside").rowsBetween(Window.unboundedPreceding, 0)
+    ends = kept.withColumn("end", F.sum("c").over(order))
 
-    def element(rank: Column) -> Column:
-        here = (rank >= start) & (rank < end)
+    wanted = F.array(*[
+        F.struct(F.lit(label).alias("target"), rank(n).cast("bigint").alias("rank")) for label, _, rank in targets
+    ])
+    rank, start, end = F.col("rank"), F.col("end") - F.col("c"), F.col("end")
+
+    def element(at: Column, missing: Column) -> Column:
+        """The element at a rank: known inside a bracket and at the rim of a zone."""
         known = (
-            F.when(F.col("zone") == 0, F.col("inside"))
-            .when((F.col("zone") < 0) & (rank == end - 1), F.col("high"))
-            .when((F.col("zone") > 0) & (rank == start), F.col("low"))
-            .otherwise(F.raise_error(F.lit("rank outside the sketched bracket")))
+            F.when(F.col("inside").isNotNull(), F.col("inside"))
+            .when(at == end - 1, F.col("high"))
+            .when(at == start, F.col("low"))
+            .otherwise(missing)
         )
-        return F.max(F.when(here, known))
-
-    rank = F.col("rank")
-    return ends.groupBy("column", "target", "n", "rank").agg(
-        element(rank).alias("at_rank"),
-        # The element after the rank may lie beyond what is known where nobody
-        # needs it; it stays NULL then.
-        F.max(
-            F.when(
-                (rank + 1 >= start) & (rank + 1 < end),
-                F.when(F.col("zone") == 0, F.col("inside"))
-                .when((F.col("zone") < 0) & (rank + 2 == end), F.col("high"))
-                .when((F.col("zone") > 0) & (rank + 1 == start), F.col("low")),
-            )
-        ).alias("next"),
+        return F.max(F.when((at >= start) & (at < end), known))
+
+    out_of_bracket = F.raise_error(F.lit("rank outside the sketched bracket"))
+    # The next element may be unknown where nobody needs it; it stays NULL then.
+    return (
+        ends.withColumn("s", stats[F.col("column")])
+        .select("column", "inside", "low", "high", "c", "end", n.alias("n"), F.col("s.extra").alias("extra"), F.inline(wanted))
+        .filter((rank + 1 >= start) & (rank < end))
+        .groupBy("column", "target", "n", "rank", "extra")
+        .agg(element(rank, out_of_bracket).alias("at_rank"), element(rank + 1, F.lit(None)).alias("next"))
+        .select("column", "target", "n", "rank", "at_rank", "next", *(["extra.*"] if extra else []))
     )
 
 
@@ -103,24 +103,29 @@ def to_long(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Iterable[str], probabilities: Iterable[float], accuracy: int = ACCURACY, small: int = SMALL
+    df: DataFrame, columns: Iterable[str], probabilities: Iterable[float], accuracy: int = ACCURACY,
+    small: int = SMALL, extra: Iterable[Column] = (),
 ) -> DataFrame:
-    """(column, probability, value) with linear interpolation between neighbours."""
-    probabilities = list(probabilities)
+    """(column, probability, value) with linear interpolation between neighbours.
+
+    ``extra`` aggregates of ``value`` come from the same pass and are added.
+    """
+    probabilities, extra = list(probabilities), list(extra)
 
     def rank_of(p: float) -> Callable[[Column], Column]:
         return lambda n: F.floor(F.lit(p) * (n - 1))
 
     found = order_statistics(
-        to_long(df, columns), [(repr(p), p, rank_of(p)) for p in probabilities], accuracy, small
+        to_long(df, columns), [(repr(p), p, rank_of(p)) for p in probabilities], accuracy, small, extra=extra
     )
     position = F.col("target").cast("double") * (F.col("n") - 1)
     share = position - F.col("rank")
     after = F.coalesce("next", F.raise_error(F.lit("rank outside the sketched bracket")))
     value = F.when(share > 0, F.col("at_rank") + share * (after - F.col("at_rank")))
+    names = [c for c in found.columns if c not in ("column", "target", "n", "rank", "at_rank", "next")]
     return found.select(
         "column", F.col("target").cast("double").alias("probability"),
-        value.otherwise(F.col("at_rank")).alias("value"),
+        value.otherwise(F.col("at_rank")).alias("value"), *names,
     )
 
 

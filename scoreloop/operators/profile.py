@@ -9,22 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloop.functions import nan_to_null
-from scoreloop.operators.order_stats import exact_quantiles, to_long
+from scoreloop.operators.order_stats import exact_quantiles
 
 
 def describe(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """count, mean, std (sample), min, quartiles (interpolated), max per column."""
-    columns = list(columns)
-    basic = to_long(df, columns).groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-    quartiles = q.groupBy("column").agg(*[
+    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75], extra=[
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    ])
+    quartiles = [
         F.max(F.when(F.col("probability") == p, F.col("value"))).alias(name)
         for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))
-    ])
-    return basic.join(quartiles, "column").select(
+    ]
+    return q.groupBy("column", "count", "mean", "std", "min", "max").agg(*quartiles).select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Semantics the library relies on. Sizing (shuffle partitions, memory) is left
 # to the cluster; AQE coalesces and splits partitions from there.
@@ -49,7 +49,18 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at the shared folder when nothing is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input that lies in few files over all cores.
+
+    For work that is heavy per row (growing trees). The sizes come from the
+    plan's leaves, without running a job; an input large enough to fill the
+    cores through its own splits is left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.length()))
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    ))
+    return df.repartition(cores) if size < cores * split else df

@@ -14,7 +14,6 @@ from scoreloop.functions import date_string, parse_timestamp
 from scoreloop.functions.vocabulary import NON_FEATURES
 from scoreloop.operators.ledger import latest_per_key, sync_feedback, sync_predictions
 from scoreloop.operators.project import feature_columns
-from scoreloop.session import ensure_checkpoint_dir
 from scoreloop.sources.files import exists, read_json, read_optional, write_json
 
 BUCKET = "key_bucket"
@@ -87,41 +86,44 @@ def rewrite_partitions(
     partition: str,
     schema: T.StructType,
     merge: Callable[[DataFrame | None, DataFrame], DataFrame],
-) -> int:
+) -> bool:
     """Merge ``rows`` into the partitions of a Parquet table that they touch.
 
-    Only touched partitions are read and replaced. The merged rows are
-    checkpointed to the shared folder first: the files being replaced are no
-    longer read while they are replaced, and a lost executor does not send
-    Spark back to them. ``schema`` is the stored one, so that the partition
-    column keeps its type instead of one guessed from folder names. Returns the number of partitions touched.
+    Only touched partitions are read and replaced, in one job: with dynamic
+    partition overwrite Spark writes beside the table and swaps partition
+    folders after the last task, so tasks that are run again still find the
+    old files. ``schema`` is the stored one; the partition column keeps its
+    type instead of one guessed from folder names. False when there was
+    nothing to merge.
     """
     spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    # One value per partition folder; bounded by the table layout.
-    touched = [r[0] for r in rows.select(partition).distinct().collect()]
-    if not touched:
-        return 0
-    current = None
     if exists(spark, path):
+        # One value per partition folder; bounded by the table layout. Only
+        # the columns that make up the partition value are computed here.
+        touched = [r[0] for r in rows.select(partition).distinct().collect()]
+        if not touched:
+            return False
         inside = F.col(partition).isin([v for v in touched if v is not None])
         if None in touched:
             inside = F.coalesce(inside, F.lit(True))
         current = spark.read.schema(schema).parquet(path).filter(inside)
-    merged = merge(current, rows).checkpoint()
+    elif rows.isEmpty():
+        return False
+    else:
+        current = None
     # Rebalancing gathers each partition's rows into files of the advisory
     # size and splits a partition that is much larger than the others.
     (
-        merged.hint("rebalance", partition)
+        merge(current, rows).hint("rebalance", partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)
     )
-    return len(touched)
+    return True
 
 
-def insert(spark: SparkSession, root: str, spec: TableSpec, df: DataFrame, order_by: Iterable[str] = ()) -> int:
+def insert(spark: SparkSession, root: str, spec: TableSpec, df: DataFrame, order_by: Iterable[str] = ()) -> bool:
     """Insert rows by (primary key, event time): new rows replace stored ones.
 
     Within one insert the last row in ``order_by`` wins; without an order the
@@ -158,19 +160,19 @@ FEEDBACK_GROUP = TableSpec("user_fat_feedback", 1, ("user_id", "email"), "timest
 BATCH_GROUP = TableSpec("user_fat_predictions", 1, ("user_id", "email"), "timestamp", "date")
 
 
-def backfill(spark: SparkSession, root: str, spec: TableSpec, history_path: str, schema: str | None = None) -> int:
+def backfill(spark: SparkSession, root: str, spec: TableSpec, history_path: str, schema: str | None = None) -> bool:
     """Load a CSV history into the table; nothing happens when it is absent."""
     if not exists(spark, history_path):
-        return 0
+        return False
     reader = spark.read.option("header", True)
     df = reader.schema(schema).csv(history_path) if schema else reader.option("inferSchema", True).csv(history_path)
     return insert(spark, root, spec, df.withColumn(spec.event_time, parse_timestamp(spec.event_time)))
 
 
-def sync_logs(spark: SparkSession, root: str, predictions: DataFrame | None, feedback: DataFrame | None) -> tuple[int, int]:
+def sync_logs(spark: SparkSession, root: str, predictions: DataFrame | None, feedback: DataFrame | None) -> tuple[bool, bool]:
     """Both logs into their feature tables; an absent or empty log is skipped."""
     done = [
-        insert(spark, root, spec, shape(log)) if log is not None and not log.isEmpty() else 0
+        log is not None and insert(spark, root, spec, shape(log))
         for log, spec, shape in (
             (predictions, PREDICTION_GROUP, sync_predictions),
             (feedback, FEEDBACK_GROUP, sync_feedback),

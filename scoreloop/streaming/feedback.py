@@ -60,7 +60,7 @@ class LedgerSnapshot:
         df = self.spark.read.schema(self._schema()).parquet(self.data)
         return df.drop(BUCKET, *ORDERS)
 
-    def apply(self, feedback: DataFrame) -> int:
+    def apply(self, feedback: DataFrame) -> bool:
         """Fold feedback rows that name a prediction into the snapshot."""
         folded = self._bucketed(fold_patches(patches_from_feedback(feedback, self.key), self.key))
         schema = self._schema()

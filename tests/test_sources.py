@@ -109,7 +109,7 @@ def test_create_or_get(spark, tmp_path):
 
 def test_backfill_and_views(spark, tmp_path):
     root = str(tmp_path / "root")
-    assert G.backfill(spark, root, G.PREDICTION_GROUP, str(tmp_path / "none")) == 0
+    assert G.backfill(spark, root, G.PREDICTION_GROUP, str(tmp_path / "none")) is False
     history = spark.createDataFrame(
         [("u", "e", "2024-01-01 10:00:00", 30, 20.0), ("v", "f", "bad", 40, None)],
         "user_id string, email string, timestamp string, age int, real_fat_percentage double",
@@ -128,8 +128,8 @@ def test_backfill_and_views(spark, tmp_path):
 
 def test_sync_skips_what_is_absent(spark, tmp_path):
     fb = spark.createDataFrame([("A@b.C", "2024-01-01T10:00:00+00:00", 20.0)], "email string, timestamp string, real_fat_percentage double")
-    assert G.sync_logs(spark, str(tmp_path), None, fb.limit(0)) == (0, 0)
-    assert G.sync_logs(spark, str(tmp_path), None, fb) == (0, 1)
+    assert G.sync_logs(spark, str(tmp_path), None, fb.limit(0)) == (False, False)
+    assert G.sync_logs(spark, str(tmp_path), None, fb) == (False, True)
     assert G.read_group(spark, str(tmp_path), "user_fat_feedback").first()["user_id"] == "d648b243a3e817ea"
 
 
