@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cell_count(df: DataFrame) -> int:
-    """Cells per ordered key: follow the session's shuffle width."""
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def most_shares(df: DataFrame) -> int:
+    """Upper bound of tasks for one key: a few per task of a session's shuffle."""
+    return 4 * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def borders(value: str | Column, cells: int) -> Column:
@@ -24,6 +24,12 @@ def borders(value: str | Column, cells: int) -> Column:
     return F.percentile_approx(value, cuts, 20 * cells)
 
 
+def thin(edges: Column, cells: int, wanted: Column) -> Column:
+    """Every n-th border, leaving about ``wanted`` cells of ``cells``."""
+    step = F.greatest(F.lit(1), F.floor(F.lit(cells) / wanted))
+    return F.filter(edges, lambda _, i: (i + 1) % step == 0)
+
+
 def cell_of(value: Column, edges: Column, cells: int) -> Column:
     """Number of borders below ``value``: a two-level scan, about 2*sqrt(cells) tests."""
     step = max(1, math.isqrt(cells))

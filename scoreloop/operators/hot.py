@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT = "__hot"
-DEFAULT_HOT_ROWS = 1_000_000
-HOT_LIMIT = 512
-SKETCH_ITEMS = 50_000
+HOT_ROWS = "__hot_rows"
+DEFAULT_HOT_ROWS = 10_000_000
+HOT_LIMIT = 10_000
+# Counts are off by at most 3.5 / SKETCH_ITEMS of all rows.
+SKETCH_ITEMS = 65_536
 
 
 def key_hash(keys: list[str]) -> Column:
@@ -22,11 +24,17 @@ def key_hash(keys: list[str]) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
-    """Hashes (column ``__hot``) of keys estimated to have ``min_rows`` rows or more."""
+    """Key hashes (``__hot``) estimated at ``min_rows`` rows or more, with the estimate."""
     hashed = df.select(key_hash(keys).alias(HOT))
     top = hashed.agg(F.expr(f"approx_top_k({HOT}, {HOT_LIMIT}, {SKETCH_ITEMS})").alias("top"))
     return (
         top.select(F.inline("top"))
         .filter(F.col("count") >= min_rows)
-        .select(F.col("item").alias(HOT))
+        .select(F.col("item").alias(HOT), F.col("count").alias(HOT_ROWS))
     )
+
+
+def shares(min_rows: int, most: int) -> Column:
+    """Tasks to split a hot key over: one per ``min_rows`` rows, 2 to ``most``."""
+    wanted = F.ceil(F.col(HOT_ROWS) / F.lit(min_rows))
+    return F.least(F.greatest(wanted, F.lit(2)), F.lit(most)).cast("int")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from scoreloop.functions import parse_timestamp, round_to_second, to_double
 from scoreloop.functions.vocabulary import PREDICTED, REAL
-from scoreloop.operators.cells import borders, cell_count, cell_of
-from scoreloop.operators.hot import DEFAULT_HOT_ROWS, HOT, hot_keys, key_hash
+from scoreloop.operators.cells import borders, cell_of, most_shares, thin
+from scoreloop.operators.hot import DEFAULT_HOT_ROWS, HOT, hot_keys, key_hash, shares
 
 MATCH_KEYS = ("user_id", "email", "timestamp")
 
@@ -45,16 +45,15 @@ def join_feedback(
     feedback: DataFrame,
     predicted: str = PREDICTED,
     real: str = REAL,
-    salts: int = 32,
     hot_rows: int = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
     """Inner many-to-many match with ``y_pred`` and ``y_true``.
 
     Columns on both sides come back with ``_pred`` and ``_fb`` suffixes. With
     fewer than two shared keys, or without a value to compare, the result is
-    empty. Rows of hot keys are dealt over ``salts`` tasks on the prediction
-    side and repeated to each of them on the feedback side; every matching
-    pair still meets exactly once.
+    empty. Predictions of a hot key are dealt over several tasks and its
+    feedback is repeated to each of them; every matching pair still meets
+    exactly once.
     """
     keys = shared_keys(pred, feedback)
     has_pred = predicted in pred.columns or predicted in feedback.columns
@@ -63,18 +62,19 @@ def join_feedback(
         return pred.sparkSession.createDataFrame([], "y_pred double, y_true double")
 
     left, right = match_ready(pred, keys), match_ready(feedback, keys)
-    hot = F.broadcast(
-        hot_keys(left.select(*keys).unionByName(right.select(*keys)), keys, hot_rows)
-    )
+    found = hot_keys(left.select(*keys).unionByName(right.select(*keys)), keys, hot_rows)
+    hot = F.broadcast(found.select(HOT, shares(hot_rows, most_shares(pred)).alias("__n")))
 
     def mark(df: DataFrame) -> DataFrame:
         marked = df.withColumn("__h", key_hash(keys)).join(hot, F.col("__h") == F.col(HOT), "left")
-        return marked.drop("__h")
+        return marked.drop("__h", HOT)
 
-    deal = F.pmod(F.hash(*[F.col(f"`{c}`") for c in pred.columns]), F.lit(salts))
-    left = mark(left).withColumn("__salt", F.when(F.col(HOT).isNotNull(), deal).otherwise(0))
-    spread = F.when(F.col(HOT).isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1)))
-    right = mark(right).withColumn("__salt", F.explode(F.coalesce(spread, F.array(F.lit(0)))))
+    # Dealt by row content, not at random: a task that runs again deals the same
+    # way. Equal rows stay together; AQE splits them where they are too many.
+    deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pred.columns]), F.col("__n")).cast("int")
+    left = mark(left).withColumn("__salt", F.coalesce(deal, F.lit(0)))
+    spread = F.sequence(F.lit(0), F.coalesce(F.col("__n"), F.lit(1)) - 1)
+    right = mark(right).withColumn("__salt", F.explode(spread))
 
     both = set(pred.columns) & set(feedback.columns) - set(keys)
     out = [F.col(f"p.{k}").alias(k) for k in keys]
@@ -140,17 +140,23 @@ def matched_sums(
     )
     rows = left.unionByName(right, allowMissingColumns=True)
     hashed = rows.withColumn("__h", key_hash(keys))
-    hot = F.broadcast(hot_keys(rows, keys, hot_rows))
+    found = hot_keys(rows, keys, hot_rows)
+    hot = F.broadcast(found)
     is_hot = F.col("__h") == F.col(HOT)
 
     cold = hashed.join(hot, is_hot, "left_anti").withColumns(
         {"weight": F.lit(1).cast("bigint"), "cell": F.lit(0)}
     )
-    cells = cell_count(pred)
+    cells = most_shares(pred)
     distinct = hashed.join(hot, is_hot, "left_semi").groupBy(*hashed.columns).agg(
         F.count(F.lit(1)).alias("weight")
     )
-    edges = distinct.groupBy(F.col("__h").alias("__e")).agg(borders("v", cells).alias("edges"))
+    # A cell per hot_rows rows: all borders together stay below rows/hot_rows.
+    edges = (
+        distinct.groupBy(F.col("__h").alias("__e")).agg(borders("v", cells).alias("edges"))
+        .join(hot, F.col("__e") == F.col(HOT))
+        .select("__e", thin(F.col("edges"), cells, shares(hot_rows, cells)).alias("edges"))
+    )
     celled = (
         distinct.join(F.broadcast(edges), F.col("__h") == F.col("__e"), "left")
         .withColumn("cell", cell_of(F.col("v"), F.col("edges"), cells))

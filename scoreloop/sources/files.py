@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloop.operators.project import build_features
@@ -30,8 +31,8 @@ def child_dirs(spark: SparkSession, path: str) -> list[str]:
 
 def write_json(spark: SparkSession, path: str, document: dict) -> None:
     """A small sidecar document as a one-line text data set."""
-    line = spark.createDataFrame([(json.dumps(document, ensure_ascii=False),)], "value string")
-    line.coalesce(1).write.mode("overwrite").text(path)
+    text = json.dumps(document, ensure_ascii=False)
+    spark.range(0, 1, 1, 1).select(F.lit(text).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:

@@ -61,7 +61,7 @@ def frames(spark):
 def test_join_is_whole(frames, hot_rows):
     pred, fb, p, f = frames
     want = sorted((x[2], x[1]) for x in pairs(pred, fb) if x[1] is not None and x[2] is not None)
-    got = sorted((r["y_true"], r["y_pred"]) for r in join_feedback(p, f, hot_rows=hot_rows, salts=5).collect())
+    got = sorted((r["y_true"], r["y_pred"]) for r in join_feedback(p, f, hot_rows=hot_rows).collect())
     assert got == want
 
 
