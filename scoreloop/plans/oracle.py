@@ -10,15 +10,19 @@ from __future__ import annotations
 PRED, REAL = "predicted_fat_percentage", "real_fat_percentage"
 
 
-def r(expression: str, places: int = 6) -> str:
-    """Half-even at ``places``, negative zero folded into zero."""
-    scale = f"1e{places}"
-    return f"(round_even(({expression}) * {scale}, 0) / {scale} + 0.0::double)"
+def half_even(expression: str, places: int) -> str:
+    """The library's own rounding."""
+    return f"(round_even(({expression}) * 1e{places}, 0) / 1e{places})"
+
+
+def r(expression: str) -> str:
+    """Every double of a result: six places, see ``catalog.tidy``."""
+    return f"(round_even(({expression}) * 1e6 + 1e-4, 0) / 1e6 + 0.0::double)"
 
 
 def r36(expression: str, places: int) -> str:
     """A metric rounded to its own places."""
-    return r(r(expression, places))
+    return r(half_even(expression, places))
 
 
 EMAIL = "'User' || user_id || '@Example.com'"
@@ -70,8 +74,8 @@ repeated as (
   select prediction_id, ts + interval 1 hour, y * 1.1::double, null from feedback where pred is not null),
 patches as (
   select prediction_id, ts, y, pred,
-    {r('abs(y - pred)', 3)} as abs_error, {r('y - pred', 3)} as signed_error,
-    {r('abs(y - pred) / nullif(y, 0) * 100', 2)} as relative_error
+    {half_even('abs(y - pred)', 3)} as abs_error, {half_even('y - pred', 3)} as signed_error,
+    {half_even('abs(y - pred) / nullif(y, 0) * 100', 2)} as relative_error
   from repeated where coalesce(prediction_id, '') <> ''),
 last_label as (
   select * from patches qualify row_number() over (partition by prediction_id order by ts desc, y desc, pred desc nulls last) = 1),
@@ -142,7 +146,7 @@ def union(parts) -> str:
     return "\nunion all\n".join(parts)
 
 
-DRIFT = {"value": "value", "props_length": "length(props)", "ln_value": "ln(value)", "log1p_value": "ln(1 + value)"}
+DRIFT = {"value": "value", "props_length": "length(props)", "ln_value": "ln(nullif(value, 0))", "log1p_value": "ln(1 + value)"}
 
 TRAINING_TYPES = {
     "row_key": "string", "l_partkey": "bigint", "l_suppkey": "bigint", "l_quantity": "double", "l_discount": "double",
