@@ -14,6 +14,7 @@ from scoreloop.operators.forest import fit_forest, search, split_metrics
 from scoreloop.operators.project import column_roles
 from scoreloop.operators.quality import drop_missing
 from scoreloop.operators.split import contiguous_folds, hash_folds, split_bucket, split_exact
+from scoreloop.session import spread
 from scoreloop.sources.registry import ModelRegistry, save_with_copy, write_report
 
 
@@ -35,7 +36,7 @@ def train(
     )
     metrics = {
         r["split"]: {"n": r["n"], "mae": r["mae"], "rmse": r["rmse"], "r2": r["r2"]}
-        for r in split_metrics(model.transform(parted), target).collect()  # two rows
+        for r in split_metrics(model.transform(spread(parted)), target).collect()  # two rows
     }
     report = {
         "timestamp": datetime.now().isoformat(timespec="seconds"),

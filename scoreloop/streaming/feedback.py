@@ -8,12 +8,14 @@ later one, so late and replayed batches change nothing they should not.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from scoreloop.operators.ledger import (
+    ERROR_FIELDS,
+    LABEL_FIELDS,
     fold_patches,
     latest_per_key,
     merge_patches,
@@ -21,7 +23,7 @@ from scoreloop.operators.ledger import (
     route_feedback,
 )
 from scoreloop.sources.feature_groups import rewrite_partitions
-from scoreloop.sources.files import read_json, write_json
+from scoreloop.sources.files import exists, read_json, write_json
 
 FEEDBACK_SCHEMA = (
     "prediction_id string, email string, timestamp timestamp, "
@@ -32,10 +34,17 @@ ORDERS = ("label_order", "error_order")
 
 
 class LedgerSnapshot:
-    """A keyed ledger on plain Parquet, updated by patches."""
+    """A keyed ledger on plain Parquet, updated by predictions and patches.
+
+    Its rows are the last write per id merged with the folded patches of the
+    id, in whatever order writes and patches arrive. The bucket count of an
+    existing snapshot is read from its spec.
+    """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "prediction_id", buckets: int = 64):
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        spec = f"{self.path}/spec"
+        self.buckets = read_json(spark, spec)["buckets"] if exists(spark, spec) else buckets
 
     @property
     def data(self) -> str:
@@ -60,6 +69,38 @@ class LedgerSnapshot:
         df = self.spark.read.schema(self._schema()).parquet(self.data)
         return df.drop(BUCKET, *ORDERS)
 
+    def put(self, predictions: DataFrame, timestamp: str = "timestamp") -> bool:
+        """Whole-row writes: the later write of an id wins.
+
+        Feedback already received for the id is kept, also when it came ahead
+        of its prediction.
+        """
+        schema = self._schema()
+        latest = self._bucketed(latest_per_key(predictions, [self.key], [timestamp]))
+        patched = {*LABEL_FIELDS, *ERROR_FIELDS, *ORDERS}
+
+        def merge(current: DataFrame | None, new: DataFrame) -> DataFrame:
+            current = current if current is not None else self.spark.createDataFrame([], schema)
+            written, stored = F.col(f"n.{timestamp}"), F.col(f"c.{timestamp}")
+            newer = F.col(f"n.{self.key}").isNotNull() & (stored.isNull() | (written >= stored))
+
+            def pick(name: str) -> Column:
+                old = F.col(f"c.`{name}`")
+                if name in patched:
+                    return old
+                if name in (self.key, BUCKET):
+                    return F.coalesce(F.col(f"n.{name}"), old)
+                fresh = F.col(f"n.`{name}`") if name in new.columns else F.lit(None)
+                return F.when(newer, fresh).otherwise(old)
+
+            return (
+                current.alias("c")
+                .join(new.alias("n"), F.col(f"c.{self.key}") == F.col(f"n.{self.key}"), "full_outer")
+                .select(*[pick(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+            )
+
+        return rewrite_partitions(latest, self.data, BUCKET, schema, merge)
+
     def apply(self, feedback: DataFrame) -> bool:
         """Fold feedback rows that name a prediction into the snapshot."""
         folded = self._bucketed(fold_patches(patches_from_feedback(feedback, self.key), self.key))

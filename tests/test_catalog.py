@@ -6,6 +6,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from compare import connect, difference
+from scoreloop.operators.metrics import error_summary_for
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = oracle_sql()
@@ -28,7 +29,19 @@ def test_everything_is_registered():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, con, name):
-    assert difference(queries()[name](spark, FOLDER), con, SQL[name]) is None
+    df = queries()[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "Python" not in plan  # nothing leaves the JVM
+    assert difference(df, con, SQL[name]) is None
+
+
+def test_pushdown_and_pruning(spark):
+    plan = queries()["drift_report"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<ts:timestamp_ntz>" in plan  # the cutoff reads one column
+    df = spark.read.parquet(f"{FOLDER}/customer.parquet").withColumnRenamed("c_name", "email")
+    plan = error_summary_for(df, " ABC ", real="c_acctbal", pred="c_acctbal")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(c_name,abc)" in plan and "ReadSchema: struct<c_name:string,c_acctbal:double>" in plan
 
 
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))

@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from scoreloop.functions.vocabulary import PREDICTED, REAL
@@ -78,3 +80,44 @@ def test_feedback_stream_equals_batch(spark, tmp_path):
     loose = everything.filter(F.coalesce("prediction_id", F.lit("")) == "").count()
     assert spark.read.parquet(str(tmp_path / "orphans")).count() == loose
     assert REAL in got.columns
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_writes_and_patches_in_any_order(spark, tmp_path, seed):
+    """Last write and folded patches per id, in whatever order batches come."""
+    rng = random.Random(seed)
+    times = rng.sample(range(1000), 60)
+    log = []  # (kind, id, time, value, prediction in the feedback)
+    for t in times:
+        pid = f"p{rng.choice([0, 0, 0, 1, 2, 3])}"
+        if rng.random() < 0.3:
+            log.append(("write", pid, t, float(t), None))
+        else:
+            log.append(("patch", pid, t, float(rng.randrange(10, 40)), rng.choice([None, 20.0])))
+    want = {}
+    for kind, pid, t, value, own in sorted(log, key=lambda e: e[2]):
+        if kind == "write":
+            want.setdefault(pid, {})[PREDICTED] = value
+        else:
+            doc = want.setdefault(pid, {})
+            doc[REAL] = value
+            if own is not None:
+                doc.update({f"{PREDICTED}_feedback": own, "signed_error": value - own})
+
+    schema = f"prediction_id string, email string, timestamp timestamp, {PREDICTED} double"
+    snapshot = LedgerSnapshot(spark, str(tmp_path / "snap"), buckets=3)
+    snapshot.create(spark.createDataFrame([], schema), ["timestamp"])
+    rng.shuffle(log)
+    for part in (log[:20], log[20:25], log[25:]):
+        writes = [(p, "e", T0 + timedelta(seconds=t), v) for k, p, t, v, _ in part if k == "write"]
+        patches = [(p, "e", T0 + timedelta(seconds=t), v, o) for k, p, t, v, o in part if k == "patch"]
+        steps = [lambda: LedgerSnapshot(spark, str(tmp_path / "snap")).put(spark.createDataFrame(writes, schema)),
+                 lambda: snapshot.apply(spark.createDataFrame(patches, FEEDBACK_SCHEMA))]
+        rng.shuffle(steps)
+        for step in steps:
+            step()
+    got = {r["prediction_id"]: r.asDict() for r in snapshot.read().collect()}
+    assert got.keys() == want.keys()
+    for pid, doc in want.items():
+        for field in (PREDICTED, REAL, f"{PREDICTED}_feedback", "signed_error"):
+            assert got[pid][field] == doc.get(field), (pid, field)
