@@ -4,17 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloop.llm import simhash
+from scoreloop.llm import packing, simhash, token_files
 from scoreloop.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=1, capacity=4096, keep_ids=False)
+
 
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.read_documents(token_files.write_files(docs, public_tokenizers.path(TOKENIZER), end_id=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op8_simhash_golay,)
+    for f in (op4_best_fit_packing, op8_simhash_golay, op10_token_files)
 }
