@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloop.llm import packing, simhash, token_files
+from scoreloop.llm import packing, quality, simhash, token_files
 from scoreloop.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=1, capacity=4096, keep_ids=False)
 
 
+def op6_quality_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,5 +33,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_best_fit_packing, op8_simhash_golay, op10_token_files)
+    for f in (op4_best_fit_packing, op6_quality_boosted_trees, op8_simhash_golay, op10_token_files)
 }
