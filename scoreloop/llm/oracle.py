@@ -1,3 +1,29 @@
 """SQL of the registered queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_url_shift_and": """
+        WITH cut AS (
+            SELECT page_id,
+                   CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages
+        ), parts AS (
+            SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw_host, regexp_extract(rest, '^[^?#]*') AS both_parts FROM cut
+        ), named AS (
+            SELECT page_id,
+                   translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   substr(both_parts, length(raw_host) + 1) AS path
+            FROM parts
+        ), rules(verdict, rule_host, rule_path) AS (
+            VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                   ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+        ), fitting AS (
+            SELECT page_id, rule_host || rule_path AS rule, verdict,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS place
+            FROM named, rules
+            WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        )
+        SELECT n.page_id, n.host, n.path, f.rule,
+               coalesce(f.verdict, CASE WHEN regexp_matches(n.host, 'spam-farm|cheap-pills|casino') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM named n LEFT JOIN fitting f ON n.page_id = f.page_id AND f.place = 1
+    """,
+}

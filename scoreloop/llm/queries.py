@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloop.llm import packing, quality, simhash, token_files
+from scoreloop.llm import packing, quality, simhash, token_files, urls
 from scoreloop.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,21 @@ def op6_quality_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+]
+# Hosts that name what they sell; for URLs that no rule fits.
+BLOCK_GLOBS = ["%spam-farm%", "%cheap-pills%", "%casino%", "%spam-farm%/*", "%cheap-pills%/*", "%casino%/*"]
+
+
+def op7_url_shift_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, BLOCK_GLOBS).drop("url")
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,5 +48,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_best_fit_packing, op6_quality_boosted_trees, op8_simhash_golay, op10_token_files)
+    for f in (op4_best_fit_packing, op6_quality_boosted_trees, op7_url_shift_and, op8_simhash_golay, op10_token_files)
 }
