@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloop.llm import packing, quality, simhash, token_files, urls
+from scoreloop.llm import ego_join, packing, quality, simhash, token_files, topk, urls
 from scoreloop.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op3_norm_sorted_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.filter("vec_id % 100 = 0"), k=10, scale=1024)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=1, capacity=4096, keep_ids=False)
@@ -41,6 +46,10 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.read_documents(token_files.write_files(docs, public_tokenizers.path(TOKENIZER), end_id=2))
@@ -48,5 +57,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_best_fit_packing, op6_quality_boosted_trees, op7_url_shift_and, op8_simhash_golay, op10_token_files)
+    for f in (
+        op3_norm_sorted_top_k,
+        op4_best_fit_packing,
+        op6_quality_boosted_trees,
+        op7_url_shift_and,
+        op8_simhash_golay,
+        op9_epsilon_grid_join,
+        op10_token_files,
+    )
 }
