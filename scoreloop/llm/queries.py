@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scoreloop.llm import ego_join, packing, quality, simhash, token_files, topk, urls
+from scoreloop.llm import ego_join, mixing, packing, quality, simhash, token_files, topk, urls
 from scoreloop.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +24,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=1, capacity=4096, keep_ids=False)
 
 
+def op5_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op6_quality_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op3_norm_sorted_top_k,
         op4_best_fit_packing,
+        op5_pivotal_mixing,
         op6_quality_boosted_trees,
         op7_url_shift_and,
         op8_simhash_golay,
