@@ -84,10 +84,10 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, key: s
         encode = encoder(path)
         names = ["key", "piece", "start", "length", "ids_crc32", "ids"]
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            keys, texts = batch.column(0), (t.as_py() for t in batch.column(1).cast(pa.binary()))
             rows, cols = [], ([], [], [], [], [])
-            for row in range(batch.num_rows):
-                ids = np.append(encode.one(texts[row].as_py()), np.uint32(end_id)).astype("<u4")
+            for row, found in enumerate(encode.each(texts)):
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity].tobytes()
                     rows.append(row)

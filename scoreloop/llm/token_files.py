@@ -132,9 +132,9 @@ def write_files(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", te
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            texts = batch.column(1).cast(pa.binary())
-            for row in range(batch.num_rows):
-                ids = np.append(encode.one(texts[row].as_py()), np.uint32(end_id))
+            texts = (t.as_py() for t in batch.column(1).cast(pa.binary()))
+            for row, found in enumerate(encode.each(texts)):
+                ids = np.append(found, np.uint32(end_id))
                 keys.append(batch.column(0)[row].as_py())
                 pending.append(ids)
                 size += len(ids)
