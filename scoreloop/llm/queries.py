@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloop.llm import ego_join, mixing, packing, pii, quality, simhash, token_files, topk, urls
+from scoreloop.llm import ego_join, mixing, packing, paragraphs, pii, quality, simhash, token_files, topk, urls
 from scoreloop.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_boosted_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
@@ -68,6 +72,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_paragraph_minhash,
         op2_boosted_pii_spans,
         op3_norm_sorted_top_k,
         op4_best_fit_packing,
