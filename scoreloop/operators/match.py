@@ -111,13 +111,17 @@ def matched_sums(
 
     ``y_true``, ``own_pred`` (the prediction repeated in the feedback, if
     any), ``weight``, ``n_rows`` (matching prediction rows), ``n_pred`` (those
-    with a prediction), ``sum_pred``, ``sum_sq_pred`` and ``sum_abs``, the sum
-    of ``|y_true - prediction|``.
+    with a prediction), ``sum_pred``, and over these predictions p and the label
+    r the sums ``sum_err`` of p - r, ``sum_sq_err`` of its square and ``sum_abs``
+    of its absolute value.
 
     Both sides are stacked and sorted by value within each key. With running
     counts and sums to the left of a value r, ``sum|r - p|`` is
-    ``r*n_left - s_left + (s - s_left) - r*(n - n_left)``. Cold keys take one
-    shuffle and one sort. Hot keys are first collapsed to distinct values and
+    ``r*n_left - s_left + (s - s_left) - r*(n - n_left)``, and with the mean and
+    the centred squares of the predictions the squared error is
+    ``n*(mean - r)**2 + squares``. Values count from a reference value of their
+    key, so nothing is lost where they lie far from 0 and close together. Cold
+    keys take one shuffle and one sort. Hot keys are first collapsed to distinct values and
     cut into value cells, each its own group; the totals of the cells before
     are carried over through a small table (hot keys x cells).
     """
@@ -158,62 +162,79 @@ def matched_sums(
         .select("__e", thin(F.col("edges"), cells, shares(hot_rows, cells)).alias("edges"))
     )
     celled = (
-        distinct.join(F.broadcast(edges), F.col("__h") == F.col("__e"), "left")
+        distinct.join(edges, F.col("__h") == F.col("__e"), "left")
         .withColumn("cell", cell_of(F.col("v"), F.col("edges"), cells))
+        .withColumn("ref", F.coalesce(F.get("edges", F.lit(0)), F.lit(0.0)))
         .drop("__e", "edges")
     )
+    # Any value of the key serves as its reference.
+    anywhere = Window.partitionBy(*keys, "cell")
+    cold = cold.withColumn("ref", F.coalesce(F.min("v").over(anywhere), F.lit(0.0)))
 
+    is_value = F.col("is_pred") & F.col("v").isNotNull()
+    d = F.col("v") - F.col("ref")
     n_row = F.when(F.col("is_pred"), F.col("weight")).otherwise(0)
-    n = F.when(F.col("is_pred") & F.col("v").isNotNull(), F.col("weight")).otherwise(0)
-    s = F.when(F.col("is_pred"), F.col("weight") * F.col("v"))
-    ss = F.when(F.col("is_pred"), F.col("weight") * F.col("v") * F.col("v"))
+    n = F.when(is_value, F.col("weight")).otherwise(0)
+    s = F.when(is_value, F.col("weight") * d)
+    mean = F.try_divide(F.col("s_cell"), F.col("n_cell"))
+    squares = F.when(is_value, F.col("weight") * (d - mean) * (d - mean))
 
     def zero(c: Column) -> Column:
         return F.coalesce(c, F.lit(0.0))
 
-    in_cell = Window.partitionBy(*keys, "cell").orderBy("v")
+    in_cell = anywhere.orderBy("v")
     whole = in_cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upto = in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = (
         cold.unionByName(celled)
         .withColumns({
             "n_left": F.sum(n).over(upto), "s_left": zero(F.sum(s).over(upto)),
-            "n_rows": F.sum(n_row).over(whole), "n_pred": F.sum(n).over(whole),
-            "sum_pred": zero(F.sum(s).over(whole)), "sum_sq_pred": zero(F.sum(ss).over(whole)),
+            "rows_cell": F.sum(n_row).over(whole), "n_cell": F.sum(n).over(whole), "s_cell": zero(F.sum(s).over(whole)),
         })
+        .withColumn("squares_cell", zero(F.sum(squares).over(whole)))
         .filter(~F.col("is_pred"))
     )
 
-    totals = celled.groupBy(*keys, "cell").agg(
-        F.sum(n).alias("c_n"), zero(F.sum(s)).alias("c_s"),
-        F.sum(n_row).alias("c_rows"), zero(F.sum(ss)).alias("c_ss"),
-    )
+    # Hot keys only: what lies in the cells before, the whole key, and its centred squares.
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, "cell",
-        F.coalesce(F.sum("c_n").over(before), F.lit(0)).alias("b_n"),
-        zero(F.sum("c_s").over(before)).alias("b_s"),
-        F.sum("c_rows").over(by_key).alias("t_rows"), F.sum("c_n").over(by_key).alias("t_n"),
-        F.sum("c_s").over(by_key).alias("t_s"), F.sum("c_ss").over(by_key).alias("t_ss"),
+    carried = (
+        celled.groupBy(*keys, "cell")
+        .agg(F.sum(n).alias("c_n"), zero(F.sum(s)).alias("c_s"), F.sum(n_row).alias("c_rows"))
+        .select(
+            *keys, "cell",
+            F.coalesce(F.sum("c_n").over(before), F.lit(0)).alias("b_n"), zero(F.sum("c_s").over(before)).alias("b_s"),
+            F.sum("c_rows").over(by_key).alias("t_rows"), F.sum("c_n").over(by_key).alias("t_n"), F.sum("c_s").over(by_key).alias("t_s"),
+        )
+    )
+    off = d - F.try_divide(F.col("t_s"), F.col("t_n"))
+    spread = (
+        celled.alias("l").join(carried.alias("c"), _equal("l", "c", [*keys, "cell"]))
+        .groupBy(*[F.col(f"l.{k}").alias(k) for k in keys])
+        .agg(zero(F.sum(F.when(is_value, F.col("weight") * off * off))).alias("t_squares"))
     )
-    placed = local.alias("l").join(
-        F.broadcast(carried.alias("c")), _equal("l", "c", [*keys, "cell"]), "left"
+    placed = (
+        local.alias("l")
+        .join(carried.alias("c"), _equal("l", "c", [*keys, "cell"]), "left")
+        .join(spread.alias("t"), _equal("l", "t", keys), "left")
     )
     n_left = F.col("n_left") + F.coalesce("b_n", F.lit(0))
     s_left = F.col("s_left") + zero(F.col("b_s"))
-    n_all, s_all = F.coalesce("t_n", "n_pred"), F.coalesce("t_s", "sum_pred")
-    r = F.col("v")
+    n_all, s_all = F.coalesce("t_n", "n_cell"), F.coalesce("t_s", "s_cell")
+    # A prediction less its reference value against the label less the same.
+    r = F.col("v") - F.col("ref")
+    gap = F.coalesce(F.try_divide(s_all, n_all), r) - r
     return placed.select(
         *[F.col(f"l.{k}").alias(k) for k in keys],
         *extra,
-        r.alias("y_true"),
+        F.col("v").alias("y_true"),
         "own_pred",
         "weight",
-        F.coalesce("t_rows", "n_rows").alias("n_rows"),
+        F.coalesce("t_rows", "rows_cell").alias("n_rows"),
         n_all.alias("n_pred"),
-        s_all.alias("sum_pred"),
-        F.coalesce("t_ss", "sum_sq_pred").alias("sum_sq_pred"),
+        (s_all + n_all * F.col("ref")).alias("sum_pred"),
+        (n_all * gap).alias("sum_err"),
+        (n_all * gap * gap + F.coalesce("t_squares", "squares_cell")).alias("sum_sq_err"),
         (r * n_left - s_left + (s_all - s_left) - r * (n_all - n_left)).alias("sum_abs"),
     ).filter("n_rows > 0")
 

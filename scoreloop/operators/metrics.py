@@ -29,12 +29,12 @@ def error_summary(
 ) -> DataFrame:
     """count, MAE, RMSE, mean signed error (real - pred), mean relative error %.
 
-    Only rows with a label count. RMSE needs two rows; a label of 0 has no
-    relative error. Without labelled rows there is no result row.
+    Only rows with both a label and a prediction count. RMSE needs two rows; a
+    label of 0 has no relative error. Without such rows there is no result row.
     """
     y, p = _doubles(real, pred)
     e = y - p
-    n = F.count(y)
+    n = F.count(e)
     out = df.groupBy(*by).agg(
         n.alias("count"),
         F.avg(F.abs(e)).alias("mae"),
@@ -107,12 +107,14 @@ def worst_users(per_user: DataFrame, k: int = 10, by: str = "email") -> DataFram
 
 
 def matched_metrics(
-    sums: DataFrame, by: Iterable[str] = (), prefer_feedback_prediction: bool = False
+    sums: DataFrame, by: Iterable[str] = (), prefer_feedback_prediction: bool = False, center: Column | None = None
 ) -> DataFrame:
     """All match metrics from ``matched_sums``, weighting each row by its pairs.
 
     With ``prefer_feedback_prediction`` the prediction repeated in a feedback
-    row replaces the logged ones it matches.
+    row replaces the logged ones it matches. R2 needs the spread of the labels;
+    ``center``, a value near their mean, keeps its digits where the labels lie
+    far from 0.
     """
     r, w = F.col("y_true"), F.col("weight")
     own = F.col("own_pred")
@@ -123,23 +125,18 @@ def matched_metrics(
 
     n = pick(F.col("n_rows"), F.col("n_pred"))
     abs_e = pick(F.col("n_rows") * F.abs(own - r), F.col("sum_abs"))
-    e = pick(F.col("n_rows") * (own - r), F.col("sum_pred") - F.col("n_pred") * r)
-    sq = pick(
-        F.col("n_rows") * (own - r) * (own - r),
-        F.col("sum_sq_pred") - 2 * r * F.col("sum_pred") + F.col("n_pred") * r * r,
-    )
+    e = pick(F.col("n_rows") * (own - r), F.col("sum_err"))
+    sq = pick(F.col("n_rows") * (own - r) * (own - r), F.col("sum_sq_err"))
+    d = r - (F.lit(0.0) if center is None else center)
     total = F.sum(n)
-    # A constant label has no spread; compare min and max instead of trusting
-    # the cancellation in sum(r*r) - sum(r)**2 / n.
-    spread = F.when(
-        F.min(F.when(n > 0, r)) < F.max(F.when(n > 0, r)),
-        F.sum(n * r * r) - F.sum(n * r) * F.sum(n * r) / total,
-    )
+    # A constant label has no spread, whatever rounding leaves.
+    varies = F.min(F.when(n > 0, r)) < F.max(F.when(n > 0, r))
+    spread = F.when(varies, F.sum(n * d * d) - F.sum(n * d) * F.sum(n * d) / total)
     out = sums.groupBy(*by).agg(
         total.alias("n"),
         F.sum(w * F.col("n_rows")).alias("n_rows"),
         F.try_divide(F.sum(abs_e), total).alias("mae"),
-        F.sqrt(F.try_divide(F.greatest(F.sum(sq), F.lit(0.0)), total)).alias("rmse"),
+        F.sqrt(F.try_divide(F.sum(sq), total)).alias("rmse"),
         F.try_divide(F.sum(e), total).alias("bias"),
         F.try_divide(-F.sum(e), total).alias("mean_signed_error"),
         F.try_divide(

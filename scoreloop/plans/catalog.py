@@ -16,7 +16,7 @@ from scoreloop.functions import (
     truncate_to_second, user_id, with_parsed_number,
 )
 from scoreloop.functions.vocabulary import HISTORY_COLUMNS, MODEL_COLUMNS, PREDICTED, REAL, SCORING_NAMES
-from scoreloop.operators import drift, forest, ledger, match, metrics, order_stats, prep, profile, project, quality, split
+from scoreloop.operators import drift, forest, hot, ledger, match, metrics, order_stats, prep, profile, project, quality, split
 from scoreloop.plans import fixtures as fx
 from scoreloop.plans import monitoring, scoring, training
 from scoreloop.session import configure, scratch_dir
@@ -426,8 +426,10 @@ def match_rows(spark, sf):
 @query
 def match_rows_fan_out(spark, sf):
     pred, fb = _match_sides(spark, sf)
-    joined = match.join_feedback(_daily(pred), _daily(fb), hot_rows=100)
-    return joined.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("y_pred").alias("y_pred"), F.avg("y_true").alias("y_true"))
+    sums = match.matched_sums(_daily(pred), _daily(fb), hot_rows=100)
+    n = F.sum(F.col("weight") * F.col("n_pred"))
+    means = {"y_pred": F.col("weight") * F.col("sum_pred"), "y_true": F.col("weight") * F.col("n_pred") * F.col("y_true")}
+    return sums.groupBy("user_id").agg(n.alias("n"), *((F.sum(c) / n).alias(k) for k, c in means.items())).filter("n > 0")
 
 
 @query
@@ -443,6 +445,47 @@ def monitor_join_metrics_fan_out(spark, sf):
     return monitoring.match_metrics(_daily(pred), _daily(fb), hot_rows=100).select("n", "mae", "rmse", "bias", "r2")
 
 
+@query
+def monitor_metrics_of_feedback(spark, sf):
+    """The prediction stored with the feedback counts where there is one."""
+    return monitoring.match_metrics(*_match_sides(spark, sf), prefer_feedback_prediction=True).select(
+        "n", "mae", "rmse", "bias", "mean_signed_error", "mean_relative_error", "r2"
+    )
+
+
+def _coarse(df: DataFrame) -> DataFrame:
+    """Three groups of users by month: every key holds a third of the rows."""
+    group = F.concat(F.lit("group"), (F.col("user_id").cast("int") % 3).cast("string"))
+    return df.withColumns({"user_id": F.lit("user"), "email": group, "timestamp": F.date_trunc("month", "timestamp")})
+
+
+@query
+def monitor_metrics_hot_keys(spark, sf):
+    pred, fb = _match_sides(spark, sf)
+    return monitoring.match_metrics(_coarse(pred), _coarse(fb), hot_rows=100).select("n", "mae", "rmse", "bias", "r2")
+
+
+@query
+def hot_match_keys(spark, sf):
+    """The keys above the limit of the query before: its split branch is not empty."""
+    pred, fb = _match_sides(spark, sf)
+    keys = list(match.MATCH_KEYS)
+    rows = _coarse(pred).select(*keys).unionByName(_coarse(fb).filter(F.col(REAL).isNotNull()).select(*keys))
+    counts = rows.groupBy("email", "timestamp", hot.key_hash(keys).alias(hot.HOT)).agg(F.count(F.lit(1)).alias("rows"))
+    named = counts.join(hot.hot_keys(rows, keys, 100).select(hot.HOT), hot.HOT)
+    return named.select("email", micros("timestamp").alias("timestamp"), "rows")
+
+
+@query
+def monitor_metrics_large_values(spark, sf):
+    """Values far from 0 that lie close together keep their digits."""
+    line, orders = fx.table(spark, sf, "lineitem"), fx.table(spark, sf, "orders")
+    pred = line.select(F.col("l_orderkey").alias("user_id"), F.lit("a").alias("email"), (F.col("l_extendedprice") + 1e6).alias(PREDICTED))
+    fb = orders.select(F.col("o_orderkey").alias("user_id"), F.lit("a").alias("email"), (F.col("o_totalprice") / 4 + 1e6).alias(REAL))
+    m = monitoring.match_metrics(pred, fb)
+    return m.select("n", *((F.col(c) / 1000).alias(f"{c}_k") for c in ("mae", "rmse", "bias")), "r2")
+
+
 @query
 def top_users_by_mae(spark, sf):
     pred, fb = _match_sides(spark, sf)
@@ -469,13 +512,13 @@ def error_summary(spark, sf):
 
 @query
 def error_summary_one_user(spark, sf):
-    log = _patched(spark, sf).withColumn("email", normalise_email("email"))
+    log = project.coalesce_alternates(_patched(spark, sf)).withColumn("email", normalise_email("email"))
     return metrics.error_summary_for(log, " USER42@example.com")
 
 
 @query
 def error_summary_by_user(spark, sf):
-    return metrics.error_summary(_patched(spark, sf), by=["email"])
+    return metrics.error_summary(project.coalesce_alternates(_patched(spark, sf)), by=["email"])
 
 
 @query

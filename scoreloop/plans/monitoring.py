@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scoreloop.functions import nan_to_null
+from scoreloop.functions.vocabulary import REAL
 from scoreloop.operators.drift import drift_report, overview
 from scoreloop.operators.ledger import latest_predictions
 from scoreloop.operators.match import MATCH_KEYS, matched_sums, shared_keys
@@ -23,9 +26,19 @@ def load_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return pred, spark.createDataFrame([], _NO_FEEDBACK)
 
 
-def match_metrics(pred: DataFrame, feedback: DataFrame, **kwargs) -> DataFrame:
-    """n, MAE, RMSE, bias, signed and relative error, R2 over the whole match."""
-    return matched_metrics(matched_sums(pred, feedback, **kwargs))
+def match_metrics(
+    pred: DataFrame, feedback: DataFrame, real: str = REAL, prefer_feedback_prediction: bool = False, **kwargs
+) -> DataFrame:
+    """n, MAE, RMSE, bias, signed and relative error, R2 over the whole match.
+
+    Errors are those of the logged prediction, or of the one stored with the
+    feedback where it has one.
+    """
+    labels = feedback.agg(F.avg(nan_to_null(F.col(real).cast("double"))))
+    return matched_metrics(
+        matched_sums(pred, feedback, real=real, **kwargs),
+        prefer_feedback_prediction=prefer_feedback_prediction, center=F.coalesce(labels.scalar(), F.lit(0.0)),
+    )
 
 
 def worst_matched_users(pred: DataFrame, feedback: DataFrame, k: int = 10, **kwargs) -> DataFrame:
@@ -46,5 +59,6 @@ def monitor(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
     if len(shared_keys(pred, feedback, MATCH_KEYS)) >= 2:
         reports["metrics"] = match_metrics(pred, feedback)
+        reports["metrics_of_feedback"] = match_metrics(pred, feedback, prefer_feedback_prediction=True)
         reports["worst_users"] = worst_matched_users(pred, feedback)
     return reports

@@ -67,6 +67,14 @@ DAY_PAIRS = f"""pairs as (
     on p.user_id is not distinct from f.user_id and p.email is not distinct from f.email
    and p.s is not distinct from f.s)"""
 
+HOT_GROUP = "'group' || (user_id::int % 3)::varchar"
+MONTH = "date_trunc('month', ts)"
+
+HOT_PAIRS = f"""pairs as (
+  select p.pred, f.y, f.pred as own
+  from (select *, {MONTH} as s, {HOT_GROUP} as g from log) p join (select *, {MONTH} as s, {HOT_GROUP} as g from feedback) f
+    on p.g = f.g and p.s = f.s)"""
+
 PATCHED = f"""{LOG}, {FEEDBACK},
 repeated as (
   select prediction_id, ts, y, pred from feedback
@@ -88,6 +96,11 @@ patched as (
   from log b full outer join last_label l on b.prediction_id = l.prediction_id
   left join last_error e on e.prediction_id = coalesce(b.prediction_id, l.prediction_id))"""
 
+# A record counts where a label and a prediction are there, the latter from either column.
+BOTH_SIDES = """sides as (
+  select email, y, coalesce(pred, pred_feedback) as pred from patched
+  where y is not null and (pred is not null or pred_feedback is not null))"""
+
 PATCHED_ROWS = f"""with {PATCHED}
 select prediction_id, email, epoch_us(ts) as timestamp, {r('pred')} as {PRED}, {r('y')} as {REAL},
   epoch_us(feedback_ts) as feedback_timestamp, {r('pred_feedback')} as {PRED}_feedback,
@@ -180,14 +193,14 @@ select split, count(*) as n, {m['mae']} as mae, {m['mse']} as mse, {m['rmse']} a
 from scored group by split"""
 
 
-def match_metrics(pairs: str, fan_out: bool) -> str:
+def match_metrics(pairs: str, fan_out: bool, pred: str = "pred") -> str:
     m = regression("y", "pred")
     extra = "" if fan_out else (
         f"{r('avg(y - pred)')} as mean_signed_error, {r('avg(abs(y - pred) / nullif(y, 0) * 100)')} as mean_relative_error,"
     )
     return f"""with {LOG}, {FEEDBACK}, {pairs}
 select count(*) as n, {m['mae']} as mae, {m['rmse']} as rmse, {r('avg(pred - y)')} as bias, {extra} {m['r2']} as r2
-from pairs where y is not null and pred is not null having count(*) > 0"""
+from (select y, {pred} as pred from pairs) where y is not null and pred is not null having count(*) > 0"""
 
 
 def scaled(c: str, table: str) -> str:
@@ -314,18 +327,28 @@ ORACLE: dict[str, str] = {
       {r('avg(y)')} as y_true from pairs where pred is not null and y is not null group by user_id""",
     "monitor_join_metrics": match_metrics(PAIRS, False),
     "monitor_join_metrics_fan_out": match_metrics(DAY_PAIRS, True),
+    "monitor_metrics_of_feedback": match_metrics(PAIRS, False, "coalesce(own, pred)"),
+    "monitor_metrics_hot_keys": match_metrics(HOT_PAIRS, True),
+    "hot_match_keys": f"""with {LOG}, {FEEDBACK}, both_logs as (
+        select 'user' as user_id, email_group as email, {MONTH} as s from (select *, {HOT_GROUP} as email_group from log)
+        union all
+        select 'user', email_group, {MONTH} from (select *, {HOT_GROUP} as email_group from feedback where y is not null))
+      select email, epoch_us(s) as timestamp, count(*) as rows from both_logs group by email, s having count(*) >= 100""",
+    "monitor_metrics_large_values": f"""with pairs as (
+        select l.l_extendedprice + 1e6::double as pred, o.o_totalprice / 4 + 1e6::double as y
+        from lineitem l join orders o on l.l_orderkey = o.o_orderkey)
+      select count(*) as n, {r('avg(abs(pred - y)) / 1000')} as mae_k, {r('sqrt(avg((pred - y) * (pred - y))) / 1000')} as rmse_k,
+        {r('avg(pred - y) / 1000')} as bias_k, {r('1 - sum((pred - y) * (pred - y)) / nullif(var_pop(y) * count(*), 0)')} as r2 from pairs""",
     "top_users_by_mae": f"""with {LOG}, {FEEDBACK}, {DAY_PAIRS}
       select email, count(*) as n, {r('avg(abs(coalesce(own, pred) - y))')} as mae, {r('avg(y)')} as mean_real,
         {r('avg(pred)')} as mean_pred
       from pairs group by email order by avg(abs(coalesce(own, pred) - y)) desc, email limit 10""",
     "duplicate_match_keys": f"""with {LOG} select user_id, email, epoch_us({DAY}) as timestamp, count(*) as rows
       from log group by all having count(*) > 1""",
-    "error_summary": f"""with {PATCHED}, f as (select y, coalesce(pred, pred_feedback) as pred from patched where y is not null)
-      {error_summary('f')}""",
-    "error_summary_one_user": f"""with {PATCHED}, f as (
-      select y, pred from patched where y is not null and lower(email) = 'user42@example.com') {error_summary('f')}""",
-    "error_summary_by_user": f"""with {PATCHED}, f as (select email, y, pred from patched where y is not null)
-      {error_summary('f', 'email')}""",
+    "error_summary": f"""with {PATCHED}, {BOTH_SIDES} {error_summary('sides')}""",
+    "error_summary_one_user": f"""with {PATCHED}, {BOTH_SIDES}, own as (
+      select y, pred from sides where lower(trim(email)) = 'user42@example.com') {error_summary('own')}""",
+    "error_summary_by_user": f"""with {PATCHED}, {BOTH_SIDES} {error_summary('sides', 'email')}""",
     "train_test_metrics": train_test(),
     "bias_metrics": f"""with {FEEDBACK} select count(*) as n, {r('avg(abs(pred - y))')} as mae,
       {r('sqrt(avg((pred - y) * (pred - y)))')} as rmse, {r('avg(pred - y)')} as bias

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from scoreloop.operators.match import duplicate_keys, join_feedback, matched_sums, shared_keys
 from scoreloop.operators.metrics import bias_metrics, error_summary, matched_metrics, regression_metrics, user_errors
-from scoreloop.plans.monitoring import worst_matched_users
+from scoreloop.functions.vocabulary import PREDICTED, REAL
+from scoreloop.plans.monitoring import match_metrics, worst_matched_users
 
 PRED = "user_id string, email string, timestamp timestamp, predicted_fat_percentage double"
 FB = "user_id string, email string, timestamp timestamp, real_fat_percentage double, predicted_fat_percentage double"
@@ -82,6 +83,39 @@ def test_sums_equal_the_pairs(frames, hot_rows):
     assert got["r2"] == pytest.approx(1 - sum(e * e for e in errors) / ss)
 
 
+@pytest.mark.parametrize("hot_rows", [50, 1_000_000])
+@pytest.mark.parametrize("offset,gap", [(1e6, 0.01), (1e9, 0.5), (123456.7, 0.0)])
+def test_metrics_far_from_zero_keep_their_digits(spark, hot_rows, offset, gap):
+    p, f = [], []
+    for k in range(4):
+        values = [offset + (i * 37 % 101) / 8 for i in range(120)]
+        p += [(str(k), "e", T0, v) for v in values]
+        f += [(str(k), "e", T0, v + gap, None) for v in values]
+    all_pairs = [(x[3], y[3]) for x in p for y in f if x[0] == y[0]]
+    errors = [a - b for a, b in all_pairs]
+    mean = math.fsum(b for _, b in all_pairs) / len(all_pairs)
+    got = match_metrics(spark.createDataFrame(p, PRED), spark.createDataFrame(f, FB), hot_rows=hot_rows).first()
+    squares = math.fsum(e * e for e in errors)
+    assert got["rmse"] == pytest.approx(math.sqrt(squares / len(errors)), rel=1e-9)
+    assert got["mae"] == pytest.approx(math.fsum(map(abs, errors)) / len(errors), rel=1e-9)
+    assert got["bias"] == pytest.approx(math.fsum(errors) / len(errors), rel=1e-7, abs=1e-9)
+    assert got["r2"] == pytest.approx(1 - squares / math.fsum((b - mean) ** 2 for _, b in all_pairs), rel=1e-9)
+
+
+def test_metrics_may_take_the_prediction_of_the_feedback(frames):
+    pred, fb, p, f = frames
+    used = [(own if own is not None else pp, r) for _, pp, r, own in pairs(pred, fb) if r is not None]
+    errors = [u - r for u, r in used if u is not None]
+    got = match_metrics(p, f, prefer_feedback_prediction=True, hot_rows=10).first()
+    assert got["n"] == len(errors) and got["mae"] == pytest.approx(sum(map(abs, errors)) / len(errors))
+
+
+def test_rows_without_a_prediction_do_not_count(spark):
+    rows = [("a", 1.0, 2.0), ("a", 3.0, None), ("b", None, 1.0), (None, 5.0, None)]
+    got = error_summary(spark.createDataFrame(rows, f"email string, {REAL} double, {PREDICTED} double"), by=["email"]).collect()
+    assert [(r["email"], r["count"], r["mae"], r["rmse"]) for r in got] == [("a", 1, 1.0, None)]
+
+
 @pytest.mark.parametrize("hot_rows", [10, 1_000_000])
 def test_users_prefer_the_prediction_in_the_feedback(frames, hot_rows):
     pred, fb, p, f = frames
