@@ -1,96 +1,124 @@
-"""Exact order statistics without sorting a whole column in one task.
-
-A percentile sketch brackets each wanted rank (its rank error is bounded by
-rows/accuracy). One further pass counts what lies below the bracket and keeps,
-per distinct value, the few rows inside it; the wanted element is then found
-in that remainder, or next to it, with exact counts.
+"""Exact order statistics without sorting a column in one task.
+
+Every wanted rank starts with the whole column as its bracket. A round sketches
+the values inside all brackets, takes two of them around each rank as pivots,
+and counts exactly what lies below, between and above: the part that holds the
+rank is the next bracket. Pivots are values of the column, so a bracket always
+shrinks, and the counts never leave a doubt. Once a bracket holds one value, or
+few rows, the element is read off. The number of rounds grows with the
+logarithm of the rows; no step holds more than ``last_rows`` values of a bracket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloop.functions import nan_to_null
 
 ACCURACY = 100_000
-SMALL = 10_000
+# Rows of a bracket that are looked at one by one.
+LAST_ROWS = 1_000
+# Points of a sketch: two neighbours bracket a rank within about 2 / GRID of the rows.
+GRID = 256
+
+
+def _narrowed(long: DataFrame, brackets: list[dict], accuracy: int) -> list[dict]:
+    """One round: each bracket (name, column, lo, hi, start, inside, rank) becomes the part with its rank."""
+    spark = long.sparkSession
+    kind = long.schema["value"].dataType.simpleString()
+    by_name = {b["name"]: b for b in brackets}
+
+    def inside(frame: DataFrame) -> DataFrame:
+        hit = (F.col("column") == F.col("b_column")) & F.col("value").between(F.col("lo"), F.col("hi"))
+        return long.join(F.broadcast(frame), hit)  # a bracket per wanted rank
+
+    bounds = spark.createDataFrame(
+        [(b["name"], b["column"], b["lo"], b["hi"]) for b in brackets], f"name int, b_column string, lo {kind}, hi {kind}"
+    )
+    points = [i / GRID for i in range(GRID + 1)]
+    pivots = []
+    for r in inside(bounds).groupBy("name").agg(F.percentile_approx("value", points, accuracy).alias("grid")).collect():
+        b, grid = by_name[r["name"]], r["grid"]
+        at = (b["rank"] - b["start"]) / b["inside"] * GRID
+        low, high = grid[max(0, int(at) - 1)], grid[min(GRID, int(at) + 2)]
+        if (low, high) == (b["lo"], b["hi"]):
+            low = high = grid[GRID // 2]
+        pivots.append((b["name"], b["column"], b["lo"], b["hi"], low, high))
+    cut = spark.createDataFrame(pivots, f"name int, b_column string, lo {kind}, hi {kind}, low {kind}, high {kind}")
+    zone = F.when(F.col("value") < F.col("low"), 0).when(F.col("value") <= F.col("high"), 1).otherwise(2)
+    parts = inside(cut).groupBy("name", zone.alias("zone")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    out = []
+    starts = {name: b["start"] for name, b in by_name.items()}
+    for r in sorted(parts.collect(), key=lambda r: (r["name"], r["zone"])):  # three rows a bracket
+        b, start = by_name[r["name"]], starts[r["name"]]
+        if start <= b["rank"] < start + r["c"]:
+            out.append({**b, "lo": r["lo"], "hi": r["hi"], "start": start, "inside": r["c"]})
+        starts[r["name"]] = start + r["c"]
+    return out
 
 
 def order_statistics(
     long: DataFrame,
-    targets: Iterable[tuple[str, float, Callable[[Column], Column]]],
+    targets: Iterable[tuple[str, Callable[[int], int]]],
     accuracy: int = ACCURACY,
-    small: int = SMALL,
-    slack: float = 0.0,
+    last_rows: int = LAST_ROWS,
     extra: Iterable[Column] = (),
 ) -> DataFrame:
     """Elements at given ranks of ``value`` per ``column``.
 
     ``long`` has columns (column, value) without NULLs. Each target is
-    (label, probability near the rank, row count -> 0-based rank). Result:
-    (column, target, n, rank, at_rank, next), ``next`` being the following
-    element in order, and any ``extra`` aggregates of the column. Groups with
-    at most ``small`` rows are bracketed whole; ``slack`` widens the brackets
-    where a rank is not exactly probability * n.
+    (label, row count -> 0-based rank). Result: (column, target, n, rank,
+    at_rank, next), ``next`` being the following element in order (NULL after
+    the last), and any ``extra`` aggregates of the column. Runs its rounds when
+    called; a row per column and target reaches the driver.
     """
-    targets, extra = list(targets), list(extra)
-    slack += 2.0 / accuracy
-    points: list[float] = []
-    for _, p, _ in targets:
-        points += [max(0.0, p - slack), min(1.0, p + slack)]
-    sketch = long.groupBy("column").agg(
-        F.count("value").alias("n"),
-        F.percentile_approx("value", points, accuracy).alias("edges"),
-        F.struct(*(extra or [F.lit(0).alias("none")])).alias("extra"),
-    )
-    # One row per column, used twice below: as a scalar subquery it runs once.
-    entry = F.struct("column", F.struct("n", "edges", "extra").alias("s"))
-    stats = sketch.agg(F.map_from_entries(F.collect_list(entry)).alias("stats")).scalar()
-    n, v = F.col("s.n"), F.col("value")
-    # Every value falls into one zone: between two brackets, or inside one.
-    # Zones number the line from left to right.
-    lows = [F.col("s.edges")[2 * i] for i in range(len(targets))]
-    highs = [F.col("s.edges")[2 * i + 1] for i in range(len(targets))]
-    zone = sum([(v >= lo).cast("int") + (v > hi).cast("int") for lo, hi in zip(lows, highs)], F.lit(0))
-    inside = reduce(lambda a, b: a | b, [v.between(lo, hi) for lo, hi in zip(lows, highs)])
-    kept = (
-        long.withColumn("s", stats[F.col("column")])
-        .select("column", v, zone.alias("zone"), F.when((n <= small) | inside, v).alias("inside"))
-        .groupBy("column", "zone", "inside")
-        .agg(F.count(F.lit(1)).alias("c"), F.min(v).alias("low"), F.max(v).alias("high"))
+    targets, extra, spark = list(targets), list(extra), long.sparkSession
+    base = long.groupBy("column").agg(
+        F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), *extra
     )
-    order = Window.partitionBy("column").orderBy("zone", "inside").rowsBetween(Window.unboundedPreceding, 0)
-    ends = kept.withColumn("end", F.sum("c").over(order))
-
-    wanted = F.array(*[
-        F.struct(F.lit(label).alias("target"), rank(n).cast("bigint").alias("rank")) for label, _, rank in targets
-    ])
-    rank, start, end = F.col("rank"), F.col("end") - F.col("c"), F.col("end")
-
-    def element(at: Column, missing: Column) -> Column:
-        """The element at a rank: known inside a bracket and at the rim of a zone."""
-        known = (
-            F.when(F.col("inside").isNotNull(), F.col("inside"))
-            .when(at == end - 1, F.col("high"))
-            .when(at == start, F.col("low"))
-            .otherwise(missing)
+    columns, wanted, brackets = base.collect(), [], []
+    for r in columns:
+        for label, rank_of in targets:
+            rank = int(rank_of(r["n"]))
+            wanted.append((r["column"], label, r["n"], rank))
+            for at in (rank, rank + 1):
+                if 0 <= at < r["n"]:
+                    brackets.append({
+                        "name": len(brackets), "column": r["column"], "lo": r["lo"], "hi": r["hi"],
+                        "start": 0, "inside": r["n"], "rank": at,
+                    })
+    while wide := [b for b in brackets if b["lo"] < b["hi"] and b["inside"] > last_rows]:
+        done = {b["name"]: b for b in _narrowed(long, wide, accuracy)}
+        brackets = [done.get(b["name"], b) for b in brackets]
+    found = {(b["column"], b["rank"]): b["lo"] for b in brackets if not b["lo"] < b["hi"]}
+    if few := [b for b in brackets if b["lo"] < b["hi"]]:
+        kind = long.schema["value"].dataType.simpleString()
+        bounds = spark.createDataFrame(
+            [(b["name"], b["column"], b["lo"], b["hi"]) for b in few], f"name int, b_column string, lo {kind}, hi {kind}"
         )
-        return F.max(F.when((at >= start) & (at < end), known))
-
-    out_of_bracket = F.raise_error(F.lit("rank outside the sketched bracket"))
-    # The next element may be unknown where nobody needs it; it stays NULL then.
-    return (
-        ends.withColumn("s", stats[F.col("column")])
-        .select("column", "inside", "low", "high", "c", "end", n.alias("n"), F.col("s.extra").alias("extra"), F.inline(wanted))
-        .filter((rank + 1 >= start) & (rank < end))
-        .groupBy("column", "target", "n", "rank", "extra")
-        .agg(element(rank, out_of_bracket).alias("at_rank"), element(rank + 1, F.lit(None)).alias("next"))
-        .select("column", "target", "n", "rank", "at_rank", "next", *(["extra.*"] if extra else []))
+        hit = (F.col("column") == F.col("b_column")) & F.col("value").between(F.col("lo"), F.col("hi"))
+        values = long.join(F.broadcast(bounds), hit).groupBy("name", "value").count().collect()  # last_rows a bracket
+        for b in few:
+            at = b["start"]
+            for r in sorted((r for r in values if r["name"] == b["name"]), key=lambda r: r["value"]):
+                if at <= b["rank"] < at + r["count"]:
+                    found[b["column"], b["rank"]] = r["value"]
+                at += r["count"]
+    kind = long.schema["value"].dataType.simpleString()
+    looked_up = spark.createDataFrame(
+        [(c, label, n, rank, found.get((c, rank)), found.get((c, rank + 1))) for c, label, n, rank in wanted],
+        f"column string, target string, n bigint, rank bigint, at_rank {kind}, next {kind}",
     )
+    if not extra:
+        return looked_up
+    kept = spark.createDataFrame(columns, base.schema).drop("n", "lo", "hi")
+    return looked_up.join(kept, "column")
 
 
 def to_long(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -104,7 +132,7 @@ def to_long(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 def exact_quantiles(
     df: DataFrame, columns: Iterable[str], probabilities: Iterable[float], accuracy: int = ACCURACY,
-    small: int = SMALL, extra: Iterable[Column] = (),
+    last_rows: int = LAST_ROWS, extra: Iterable[Column] = (),
 ) -> DataFrame:
     """(column, probability, value) with linear interpolation between neighbours.
 
@@ -112,16 +140,15 @@ def exact_quantiles(
     """
     probabilities, extra = list(probabilities), list(extra)
 
-    def rank_of(p: float) -> Callable[[Column], Column]:
-        return lambda n: F.floor(F.lit(p) * (n - 1))
+    def rank_of(p: float) -> Callable[[int], int]:
+        return lambda n: math.floor(p * (n - 1))
 
     found = order_statistics(
-        to_long(df, columns), [(repr(p), p, rank_of(p)) for p in probabilities], accuracy, small, extra=extra
+        to_long(df, columns), [(repr(p), rank_of(p)) for p in probabilities], accuracy, last_rows, extra
     )
     position = F.col("target").cast("double") * (F.col("n") - 1)
     share = position - F.col("rank")
-    after = F.coalesce("next", F.raise_error(F.lit("rank outside the sketched bracket")))
-    value = F.when(share > 0, F.col("at_rank") + share * (after - F.col("at_rank")))
+    value = F.when(share > 0, F.col("at_rank") + share * (F.col("next") - F.col("at_rank")))
     names = [c for c in found.columns if c not in ("column", "target", "n", "rank", "at_rank", "next")]
     return found.select(
         "column", F.col("target").cast("double").alias("probability"),

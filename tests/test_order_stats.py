@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloop.operators import order_stats
 from scoreloop.operators.cells import borders, cell_of
 from scoreloop.operators.order_stats import exact_quantiles, medians, modes
 from scoreloop.operators.profile import describe, histogram, pair_sample, table_profile, value_range
@@ -20,11 +21,36 @@ def test_quantiles(spark, n, accuracy):
     b = [rng.uniform(0, 1) for _ in range(n)]
     df = spark.createDataFrame(list(zip(a, b)), "a double, b double").repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {(r[0], r[1]): r[2] for r in exact_quantiles(df, ["a", "b"], probs, accuracy, small=0).collect()}
+    got = {(r[0], r[1]): r[2] for r in exact_quantiles(df, ["a", "b"], probs, accuracy, last_rows=3).collect()}
     for name, values in (("a", a), ("b", b)):
         assert [got[name, p] for p in probs] == pytest.approx(list(np.quantile(values, probs)))
 
 
+def test_few_rows_reach_the_last_step_however_many_there_are(spark, monkeypatch):
+    seen = []
+    plain = order_stats._narrowed
+
+    def spied(long, brackets, accuracy):
+        out = plain(long, brackets, accuracy)
+        seen.append(max(b["inside"] for b in out if b["lo"] < b["hi"]) if any(b["lo"] < b["hi"] for b in out) else 0)
+        return out
+
+    monkeypatch.setattr(order_stats, "_narrowed", spied)
+    for n, rounds in ((10_000, 1), (1_000_000, 2)):
+        seen.clear()
+        df = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("x"))
+        assert exact_quantiles(df, ["x"], [0.5]).first()["value"] == (n - 1) / 2
+        assert len(seen) <= rounds and seen[-1] <= order_stats.LAST_ROWS
+
+
+@pytest.mark.parametrize("values", [[5.0] * 4000 + [6.0] * 4000, [1.0] * 5000 + [2.0], [0.0] + [7.0] * 6000 + [9.0]])
+def test_ties_fill_brackets(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    probs = [0.0, 0.25, 0.5, 0.9999, 1.0]
+    got = {r[1]: r[2] for r in exact_quantiles(df, ["x"], probs, last_rows=2).collect()}
+    assert [got[p] for p in probs] == pytest.approx(list(np.quantile(values, probs)))
+
+
 def test_median_mode_ties(spark, rows):
     df = spark.createDataFrame(
         [(1.0, "b"), (2.0, "a"), (4.0, "b"), (10.0, "a"), (None, None), (float("nan"), None)], "x double, s string"
@@ -71,7 +97,7 @@ def test_profile_and_sample(table):
     assert len(a) == 20 and sorted(a) == sorted(b)
 
 
-@pytest.mark.parametrize("n", [1, 4, 5, 16, 999])
+@pytest.mark.parametrize("n", [0, 1, 4, 5, 16, 999, 5003])
 def test_exact_split(spark, n):
     df = spark.range(n).repartition(3)
     parts = split_exact(df, "id").groupBy("split").count().collect()
