@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from scoreloop.functions import nan_to_null
 from scoreloop.operators.order_stats import medians, modes
 
+# Values of a text column that one-hot encoding takes; a parameter at every level.
 MAX_CATEGORIES = 1000
 
 
@@ -100,8 +101,15 @@ class ModeImputer(_ColumnsEstimator):
 class SortedIndexer(_ColumnsEstimator):
     """Text to label index, labels in sorted order, unknown and missing last."""
 
+    maxCategories = Param(Params._dummy(), "maxCategories", "most values of a column", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCols: list[str] | None = None, suffix: str = "", maxCategories: int = MAX_CATEGORIES):
+        super().__init__(inputCols=inputCols, suffix=suffix)
+        self._set(maxCategories=maxCategories)
+
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        vocabulary = vocabularies(dataset, self.columns())
+        vocabulary = vocabularies(dataset, self.columns(), self.getOrDefault(self.maxCategories))
         # One model per column: label lists of different lengths do not pass
         # through the many-column constructor.
         return PipelineModel([
@@ -186,23 +194,25 @@ def vocabularies(df: DataFrame, columns: Iterable[str], limit: int = MAX_CATEGOR
     return {c: sorted(v) for c, v in out.items()}
 
 
-def one_hot_wide(df: DataFrame, columns: Iterable[str], vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
+def one_hot_wide(
+    df: DataFrame, columns: Iterable[str], vocabulary: dict[str, list[str]] | None = None, max_categories: int = MAX_CATEGORIES
+) -> DataFrame:
     """Named 0/1 columns ``<column>_<value>``; unknown and missing are all zero."""
     columns = list(columns)
-    vocabulary = vocabulary or vocabularies(df, columns)
+    vocabulary = vocabulary or vocabularies(df, columns, max_categories)
     return df.withColumns({
         f"{c}_{v}": F.when(F.col(_quoted(c)) == v, 1.0).otherwise(0.0) for c in columns for v in vocabulary[c]
     })
 
 
-def one_hot_stages(columns: Iterable[str], suffix: str = "_onehot") -> list:
+def one_hot_stages(columns: Iterable[str], suffix: str = "_onehot", max_categories: int = MAX_CATEGORIES) -> list:
     """Sorted labels; an unknown or missing value encodes as all zeros."""
     columns = list(columns)
     if not columns:
         return []
     index = [f"{c}_index" for c in columns]
     return [
-        SortedIndexer(inputCols=columns, suffix="_index"),
+        SortedIndexer(inputCols=columns, suffix="_index", maxCategories=max_categories),
         OneHotEncoder(inputCols=index, outputCols=[c + suffix for c in columns], dropLast=True),
     ]
 
@@ -215,6 +225,7 @@ def preparation(
     scale: bool = True,
     impute_missing: bool = False,
     output: str = "features",
+    max_categories: int = MAX_CATEGORIES,
 ) -> Pipeline:
     """Scale (or impute) numbers, one-hot text, drop the rest: one vector column."""
     numeric, categorical = list(numeric), list(categorical)
@@ -228,7 +239,7 @@ def preparation(
     if scale and numeric:
         stages.append(PopulationScaler(inputCols=numeric, suffix="_scaled"))
         inputs = [f"{c}_scaled" for c in numeric]
-    stages += one_hot_stages(categorical)
+    stages += one_hot_stages(categorical, max_categories=max_categories)
     inputs = inputs + [f"{c}_onehot" for c in categorical]
     # A missing number stays NaN in the vector rather than failing the job;
     # impute first where the model cannot take it.
@@ -244,10 +255,12 @@ def fit_transform(
     return model.transform(df), model
 
 
-def feature_table(df: DataFrame, numeric: Iterable[str], categorical: Iterable[str], keep: Iterable[str] = ()) -> DataFrame:
+def feature_table(
+    df: DataFrame, numeric: Iterable[str], categorical: Iterable[str], keep: Iterable[str] = (), max_categories: int = MAX_CATEGORIES
+) -> DataFrame:
     """Prepared features as named columns: scaled numbers, then one-hot columns."""
     numeric, categorical = list(numeric), list(categorical)
-    vocabulary = vocabularies(df, categorical)
+    vocabulary = vocabularies(df, categorical, max_categories)
     wide = one_hot_wide(standard_scale(df, numeric), categorical, vocabulary)
     hot = [f"{c}_{v}" for c in categorical for v in vocabulary[c]]
     return wide.select(

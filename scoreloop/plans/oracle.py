@@ -7,6 +7,8 @@ replayed with ordered aggregates.
 
 from __future__ import annotations
 
+import random
+
 PRED, REAL = "predicted_fat_percentage", "real_fat_percentage"
 
 
@@ -183,6 +185,27 @@ stored as (
   select * from rows qualify row_number() over (partition by user_id, email, ts order by gen desc, pred desc, age desc) = 1)"""
 
 
+HASH = "('0x' || substr(md5('42:' || row_key), 1, 8))::bigint"
+FOLD = f"({HASH} % 3)::int"
+SPLIT = f"""parts as (select row_key, case when {BUCKET.format(k='row_key')} then 'test' else 'train' end as split from training)"""
+
+REQUEST_OK = """age between 10 and 100 and weight_kg between 30 and 200 and height_m between 1.2 and 2.2
+        and max_bpm between 80 and 220 and avg_bpm between 60 and 200 and resting_bpm between 30 and 120
+        and session_duration_hours between 0.1 and 4 and calories_burned between 0 and 5000
+        and water_intake_liters between 0 and 10 and workout_frequency_days_week between 1 and 7
+        and experience_level in ('1', '2', '3')"""
+
+SCORED = f"""select replace(lower(email), '@', '_') || '__' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' as prediction_id,
+      lower(email) as email, epoch_us(date_trunc('second', ts)) as timestamp, true as in_range, true as two_places,
+      {r('weight_kg / (height_m * height_m)')} as bmi from log"""
+
+
+def draws(n: int) -> list[tuple[int, int, int]]:
+    """The first seeded draws from the ranges 50-500, 3-20 and 1-10."""
+    rng = random.Random(42)
+    return [(rng.randint(50, 500), rng.randint(3, 20), rng.randint(1, 10)) for _ in range(n)]
+
+
 def train_test() -> str:
     m = regression("y", "p")
     return f"""with {TRAINING},
@@ -309,11 +332,7 @@ ORACLE: dict[str, str] = {
       case when {SEGMENT_BAD} then 'c_mktsegment_domain' end, case when {NAME_BAD} then 'c_name_domain' end) as reasons
       from customer where {BALANCE_BAD} or {SEGMENT_BAD} or {NAME_BAD}""",
     "domain_valid_requests": f"""with {LOG} select prediction_id, age, experience_level from log
-      where age between 10 and 100 and weight_kg between 30 and 200 and height_m between 1.2 and 2.2
-        and max_bpm between 80 and 220 and avg_bpm between 60 and 200 and resting_bpm between 30 and 120
-        and session_duration_hours between 0.1 and 4 and calories_burned between 0 and 5000
-        and water_intake_liters between 0 and 10 and workout_frequency_days_week between 1 and 7
-        and experience_level in ('1', '2', '3')""",
+      where {REQUEST_OK}""",
     "null_profile": f"""with {TRAINING} select * from (
       select 'l_tax' as column, count(*) filter (l_tax is null) as nulls from gaps
       union all select 'l_returnflag', count(*) filter (l_returnflag is null) from gaps) where nulls > 0""",
@@ -416,6 +435,27 @@ ORACLE: dict[str, str] = {
     "split_bucket": f"select o_orderkey, case when {BUCKET.format(k='o_orderkey')} then 'test' else 'train' end as split from orders",
     "folds_contiguous": "select o_orderkey, (ntile(7) over (order by o_orderkey) - 1)::int as fold from orders",
     "stream_feedback": PATCHED_ROWS,
+    "stream_feedback_orphans": f"""with {FEEDBACK}, loose as (select * from feedback where coalesce(prediction_id, '') = '')
+      select email, epoch_us(ts) as timestamp, {r('y')} as {REAL} from loose union all
+      select email, epoch_us(ts + interval 1 hour), {r('y * 1.1::double')} from loose where pred is not null""",
+    "forest_fit": f"with {TRAINING}, {SPLIT} select split, count(*) as n, true as good from parts group by split",
+    "numeric_baseline": f"with {TRAINING} select count(*) as n, true as good from training",
+    "cv_mean_r2": f"with {TRAINING} select 0 as trial, {FOLD} as fold, count(*) as n, true as good from training group by all",
+    "search_trials": union(
+        f"select {i} as trial, {t} as trees, {d} as depth, {leaf} as min_leaf, true as good" for i, (t, d, leaf) in enumerate(draws(2))
+    ),
+    "tune_and_refit": f"with {TRAINING} select count(*) as n, 20 as best_depth, true as good from training",
+    "training_report": f"""with {TRAINING}, {SPLIT} select 'y' as target, (select count(*) from training) as n_rows,
+      9 as n_features_before, split, count(*) as n, true as good from parts group by split""",
+    "register_and_load": "select 1 as version, false as unknown, true as good union all select 2, true, false",
+    "batch_score": f"""with {TRAINING} select distinct substr(sha256(lower(row_key)), 1, 16) as user_id, row_key as email,
+      epoch_us(timestamp '2024-01-01') + {HASH} % 28 * 86400000000 as timestamp, true as in_range from training""",
+    "score_records": f"with {LOG} {SCORED}",
+    "stream_score": f"with {LOG} {SCORED} where {REQUEST_OK}",
+    "stream_score_routes": f"""with {LOG} select count(*) as rows, case when {REQUEST_OK} then 'scored' else 'set aside' end as route
+      from log group by all""",
+    "model_compare": f"""with {TRAINING}, {SPLIT}, t as (select count(*) as n from parts where split = 'test')
+      select 'large' as model, n, true as best from t union all select 'small', n, false from t""",
 }
 
 _m = regression("l_extendedprice", "(2100 * l_quantity + 5 * l_linenumber)", 1000)

@@ -14,7 +14,6 @@ from scoreloop.operators.forest import fit_forest, search, split_metrics
 from scoreloop.operators.project import column_roles
 from scoreloop.operators.quality import drop_missing
 from scoreloop.operators.split import contiguous_folds, hash_folds, split_bucket, split_exact
-from scoreloop.session import spread
 from scoreloop.sources.registry import ModelRegistry, save_with_copy, write_report
 
 
@@ -36,7 +35,7 @@ def train(
     )
     metrics = {
         r["split"]: {"n": r["n"], "mae": r["mae"], "rmse": r["rmse"], "r2": r["r2"]}
-        for r in split_metrics(model.transform(spread(parted)), target).collect()  # two rows
+        for r in split_metrics(model.transform(parted), target).collect()  # two rows
     }
     report = {
         "timestamp": datetime.now().isoformat(timespec="seconds"),
@@ -64,14 +63,17 @@ def train_and_report(df: DataFrame, target: str, key: str, model_root: str, repo
 
 def tune(
     df: DataFrame, target: str, key: str, excluded: Iterable[str] = (), folds: int = 3, contiguous: bool = False,
-    trials: list[dict] | None = None, model_root: str | None = None, seed: int = 42, **kwargs,
+    trials: list[dict] | None = None, model_root: str | None = None, seed: int = 42, parallelism: int = 1, **fit_args,
 ) -> tuple[DataFrame, dict, PipelineModel]:
-    """Search by k-fold mean R2, refit the best on a training split, save it."""
+    """Search by k-fold mean R2, refit the best on a training split, save it.
+
+    ``fit_args`` (bound on the fit rows, partitions, category limit) hold for both.
+    """
     numeric, categorical = column_roles(df, {target, key, *excluded})
     folded = contiguous_folds(df, key, folds) if contiguous else hash_folds(df, key, folds, seed)
-    table, best = search(folded, target, numeric, categorical, trials=trials, k=folds, seed=seed, **kwargs)
+    table, best = search(folded, target, numeric, categorical, trials=trials, k=folds, seed=seed, parallelism=parallelism, **fit_args)
     fit_rows = split_bucket(df, key, seed=seed).filter("split = 'train'")
-    model = fit_forest(fit_rows, target, numeric, categorical, seed=seed, **best)
+    model = fit_forest(fit_rows, target, numeric, categorical, seed=seed, **fit_args, **best)
     if model_root:
         save_with_copy(model, model_root, "forest_tuned")
     return table, best, model

