@@ -63,7 +63,11 @@ def value_range(df: DataFrame, columns: Iterable[str], by: Iterable[str] = ()) -
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Equal-width bins over [min, max]; the last bin includes the maximum."""
+    """Equal-width bins over [min, max], empty ones included; the last holds the maximum.
+
+    Without a value there is no bin. A constant column falls into the last bin
+    of no width.
+    """
     v = nan_to_null(F.col(f"`{column}`").cast("double"))
     data = df.select(v.alias("v")).filter("v is not null")
     span = data.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("s")).scalar()
@@ -71,10 +75,11 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     width = (hi - lo) / bins
     at = F.when(hi == lo, F.lit(bins)).otherwise(F.floor((F.col("v") - lo) / width) + 1)
     number = F.least(at, F.lit(bins)).cast("int")
-    return (
-        data.groupBy(number.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select("bin", (lo + width * (F.col("bin") - 1)).alias("low"), (lo + width * F.col("bin")).alias("high"), "rows")
+    counts = data.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    every = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")).filter(lo.isNotNull())
+    return every.join(counts, "bin", "left").select(
+        "bin", (lo + width * (F.col("bin") - 1)).alias("low"), (lo + width * F.col("bin")).alias("high"),
+        F.coalesce("rows", F.lit(0)).alias("rows"),
     )
 
 

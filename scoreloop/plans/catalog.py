@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -582,6 +583,37 @@ def histogram(spark, sf):
     return profile.histogram(fx.table(spark, sf, "part"), "p_retailprice", 16)
 
 
+@query
+def histogram_sparse(spark, sf):
+    """A long tail: its bins stay, most with no rows."""
+    values = fx.table(spark, sf, "customer").select(F.col("c_acctbal").alias("v"))
+    for _ in range(5):
+        values = values.select((F.col("v") * F.col("v")).alias("v"))
+    return profile.histogram(values, "v", 200).select("bin", "rows")
+
+
+@query
+def empty_reports(spark, sf):
+    """Every report over tables in which no row is left: none has a row."""
+    pred, fb = (df.filter("user_id IS NULL") for df in _match_sides(spark, sf))
+    named = {
+        "error_summary": metrics.error_summary(fb), "regression_metrics": metrics.regression_metrics(fb, REAL, PREDICTED),
+        "match_metrics": monitoring.match_metrics(pred, fb), "worst_users": monitoring.worst_matched_users(pred, fb),
+        "histogram": profile.histogram(pred, PREDICTED), "describe": profile.describe(pred, [PREDICTED]),
+    }
+    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("report"), "rows") for name, df in named.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def match_two_keys(spark, sf):
+    """Sides that share two of the three keys are matched on these."""
+    day = F.date_trunc("day", "timestamp")
+    pred, fb = (df.drop("email").withColumn("timestamp", day) for df in _match_sides(spark, sf))
+    found = metrics.matched_metrics(match.matched_sums(pred, fb), by=["user_id", "timestamp"])
+    return found.select("user_id", micros("timestamp").alias("timestamp"), "n", "mae")
+
+
 @query
 def pair_points(spark, sf):
     return profile.pair_sample(fx.table(spark, sf, "part"), ["p_size", "p_retailprice"], "p_partkey", 200)

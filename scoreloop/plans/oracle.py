@@ -390,7 +390,19 @@ ORACLE: dict[str, str] = {
     "table_profile": profile(TRAINING_TYPES, "gaps", TRAINING),
     "histogram": f"""with s as (select min(p_retailprice) as lo, (max(p_retailprice) - min(p_retailprice)) / 16 as w from part),
       b as (select least(floor((p_retailprice - lo) / w) + 1, 16)::int as bin from part, s)
-      select bin, {r('lo + w * (bin - 1)')} as low, {r('lo + w * bin')} as high, count(*) as rows from b, s group by bin, lo, w""",
+      select n.bin::int as bin, {r('lo + w * (n.bin - 1)')} as low, {r('lo + w * n.bin')} as high, count(b.bin) as rows
+      from s, range(1, 17) n(bin) left join b on b.bin = n.bin group by n.bin, lo, w""",
+    "histogram_sparse": """with x2 as (select c_acctbal * c_acctbal as v from customer), x4 as (select v * v as v from x2),
+      x8 as (select v * v as v from x4), x16 as (select v * v as v from x8), x as (select v * v as v from x16),
+      s as (select min(v) as lo, (max(v) - min(v)) / 200 as w from x),
+      b as (select least(floor((v - lo) / w) + 1, 200)::int as bin from x, s)
+      select n.bin::int as bin, count(b.bin) as rows from range(1, 201) n(bin) left join b on b.bin = n.bin group by n.bin""",
+    "empty_reports": """select 'error_summary' as report, 0::bigint as rows union all select 'regression_metrics', 0
+      union all select 'match_metrics', 0 union all select 'worst_users', 0 union all select 'histogram', 0 union all select 'describe', 0""",
+    "match_two_keys": f"""with {LOG}, {FEEDBACK} select p.user_id, epoch_us(date_trunc('day', p.ts)) as timestamp, count(*) as n,
+        {r('avg(abs(p.pred - f.y))')} as mae from log p join feedback f
+        on p.user_id = f.user_id and date_trunc('day', p.ts) = date_trunc('day', f.ts)
+      where f.y is not null and p.pred is not null group by all""",
     "pair_points": f"""select p_partkey, 'p_size' as x_name, 'p_retailprice' as y_name, p_size::double as x, {r('p_retailprice')} as y
       from part order by md5('42:' || p_partkey), p_partkey limit 200""",
     "label_range": f"""with {FEEDBACK} select user_id, {r('least(min(y), min(pred))')} as min, {r('greatest(max(y), max(pred))')} as max
