@@ -6,8 +6,9 @@ ones go on with the next), after each line, and inside sentences of over ``LONG`
 words drawn by hash. Equal paragraphs have one digest and are one node from the start. Nodes
 that share a band are joined to the band's centre, drawn by hash; each such pair is verified by
 the exact Jaccard similarity of five-word shingles, and verified pairs are clustered by
-components. A cluster found in several documents is a repeat; runs of repeated paragraphs of
-at least ``run_words`` words are reported, and all but the first document's are removals.
+components. A cluster found in several documents is a repeat. Stretches of repeated paragraphs
+of at least ``run_words`` words are reported; in them all paragraphs but those of their
+cluster's first document are removals, so each cluster keeps a copy.
 """
 
 from __future__ import annotations
@@ -131,8 +132,10 @@ def repeats(docs: DataFrame, similarity: float = 0.8, run_words: int = 24, recal
 
     Words are counted over the whole text, split at ASCII white space, A-Z lowered. A passage
     of 50 words has about 40 in whole paragraphs; ``run_words`` leaves room for its ragged
-    ends and excludes lone common lines. ``first_id`` is the smallest key that holds one of
-    the run's paragraphs; the run is ``removed`` where that is another document. Paragraphs
+    ends and excludes lone common lines. Each paragraph is ``removed`` where the smallest key
+    that holds one of its cluster is another document. A stretch whose paragraphs differ in
+    that gives a run for each part; ``run_words`` holds for the whole stretch, so a part may
+    be shorter. ``first_id`` is the smallest such key of the run's paragraphs. Paragraphs
     under five words match nothing; repeats inside one document alone are no repeats. Null
     keys and null texts take no part; rows that repeat a key count as one document; 64-bit
     digests stand for paragraphs. An empty table gives no rows.
@@ -220,13 +223,18 @@ def repeats(docs: DataFrame, similarity: float = 0.8, run_words: int = 24, recal
     whole = spans.groupBy("cluster").agg(F.min("low").alias("first_id"), F.max("high").alias("high")).filter("first_id <> high")
     repeated = spans.select("h", "cluster").join(whole, "cluster").select("h", "first_id")
     hits = found.join(repeated, "h")
-    # Paragraphs that follow each other without a gap make a run.
-    order = Window.partitionBy("key").orderBy("start")
-    fresh = F.coalesce(F.col("start") > F.lag(F.col("start") + F.col("words")).over(order), F.lit(True))
-    runs = hits.withColumn("run", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("key", "run").agg(
-        F.min("start").alias("start_word"), (F.max(F.col("start") + F.col("words")) - F.min("start")).alias("n_words"), F.min("first_id").alias("first_id")
-    )
-    return runs.filter(F.col("n_words") >= run_words).select(
-        F.col("key").alias(key), "start_word", "n_words", "first_id", (F.col("first_id") < F.col("key")).alias("removed")
+    hits = hits.withColumn("removed", F.col("first_id") < F.col("key"))
+    # Paragraphs that follow each other without a gap make a stretch; a run is a part of it that stays or goes as a whole.
+    order = Window.partitionBy("key").orderBy("start", "words", "removed", "h")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.coalesce(F.col("start") > F.lag(F.col("start") + F.col("words")).over(order), F.lit(True))
+    turn = F.coalesce(F.col("removed") != F.lag("removed").over(order), F.lit(True))
+    marked = hits.withColumns({"gap": gap, "fresh": gap | turn})
+    marked = marked.withColumns({"stretch": F.sum(F.col("gap").cast("int")).over(so_far), "run": F.sum(F.col("fresh").cast("int")).over(so_far)})
+    end = F.max(F.col("start") + F.col("words"))
+    runs = marked.groupBy("key", "stretch", "run", "removed").agg(F.min("start").alias("start_word"), end.alias("end"), F.min("first_id").alias("first_id"))
+    whole_stretch = Window.partitionBy("key", "stretch")
+    joined = F.max("end").over(whole_stretch) - F.min("start_word").over(whole_stretch)
+    return runs.withColumn("joined", joined).filter(F.col("joined") >= run_words).select(
+        F.col("key").alias(key), "start_word", (F.col("end") - F.col("start_word")).alias("n_words"), "first_id", "removed"
     )

@@ -105,3 +105,21 @@ def test_odd_rows(spark):
     n = len(text.split())
     assert sorted(set(got)) == [(5, 0, n, 5, False), (8, 0, n, 5, True), (9, 0, n, 5, True)]
     assert paragraphs.repeats(frame.limit(0)).collect() == []
+
+
+def test_every_repeated_paragraph_keeps_one_copy(spark):
+    rng = random.Random(6)
+    p1, p2, p3 = (" ".join(w.strip(".") for w in prose(rng, 9).split(" ")[:30]) + "." for _ in range(3))
+    rows = [(1, p2), (5, p1 + " " + p2 + " " + p3), (9, p1), (10, p3)]
+    got = sorted(tuple(r) for r in paragraphs.repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [
+        (1, 0, 30, 1, False), (5, 0, 30, 5, False), (5, 30, 30, 1, True), (5, 60, 30, 5, False), (9, 0, 30, 5, True), (10, 0, 30, 5, True)
+    ]
+
+
+def test_length_is_tested_on_the_joined_stretch(spark):
+    rng = random.Random(7)
+    p1, p2 = (" ".join(w.strip(".") for w in prose(rng, 9).split(" ")[:14]) + "." for _ in range(2))
+    rows = [(1, p2), (5, p1 + " " + p2), (9, p1 + " " + p2)]
+    got = sorted(tuple(r) for r in paragraphs.repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(5, 0, 14, 5, False), (5, 14, 14, 1, True), (9, 0, 28, 1, True)]
