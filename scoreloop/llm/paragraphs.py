@@ -4,16 +4,15 @@ A paragraph here is a stretch of text between two cuts that depend on nearby con
 so a passage is cut alike wherever it stands: after a sentence of at least five words (short
 ones go on with the next), after each line, and inside sentences of over ``LONG`` words after
 words drawn by hash. Equal paragraphs have one digest and are one node from the start. Nodes
-that share a band are joined to the band's centre, drawn by hash; each such pair is verified by
-the exact Jaccard similarity of five-word shingles, and verified pairs are clustered by
-components. A cluster found in several documents is a repeat. Stretches of repeated paragraphs
+that share a band of several hashes are compared, first with the band's centre, then with each
+other where they are not yet in one component (see ``near_sets``), by the exact Jaccard
+similarity of five-word shingles; verified pairs are clustered by components. A cluster found in several documents is a repeat. Stretches of repeated paragraphs
 of at least ``run_words`` words are reported; in them all paragraphs but those of their
 cluster's first document are removals, so each cluster keeps a copy.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,25 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scoreloop.llm.common import components, stored
+from scoreloop.llm.near_sets import _ODD, bands_for, linked, salt
+from scoreloop.llm.near_sets import mix as _mix
 
 SHINGLE, LONG = 5, 48
 # Digests that a task remembers, to send each band of equal paragraphs once.
 MEMORY = 500_000
 _LINE = "\x1e"
-_ODD = [np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-
-
-def bands_for(similarity: float, recall: float, rows: int = 1) -> int:
-    """The fewest bands of ``rows`` hashes that find a pair of ``similarity`` with probability ``recall``."""
-    if similarity >= 1:
-        return 1
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)))
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _ODD[1]
-    h = (h ^ (h >> np.uint64(27))) * _ODD[2]
-    return h ^ (h >> np.uint64(31))
 
 
 class Cut:
@@ -104,9 +91,8 @@ class Cut:
 
     def minima(self, k: int) -> np.ndarray:
         """The smallest shingle of each paragraph under the k-th hash (paragraphs of five words or more)."""
-        salt = np.uint64((k + 1) * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
         top = np.uint64(0xFFFFFFFFFFFFFFFF)
-        return np.minimum.reduceat(np.where(self.shingles == top, top, _mix(self.shingles ^ salt)), self.first)
+        return np.minimum.reduceat(np.where(self.shingles == top, top, _mix(self.shingles ^ salt(k))), self.first)
 
 
 def _texts(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[tuple[int, list[bytes | None]]]:
@@ -122,12 +108,7 @@ def _texts(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[tuple[int, li
         yield at, held
 
 
-def _shingle_set(text: str) -> set[str]:
-    words = text.split(" ")
-    return {" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
-
-
-def repeats(docs: DataFrame, similarity: float = 0.8, run_words: int = 24, recall: float = 0.99, band_rows: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, similarity: float = 0.8, run_words: int = 24, recall: float = 0.99, band_rows: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, start_word, n_words, first_id, removed)``: each run of repeated paragraphs.
 
     Words are counted over the whole text, split at ASCII white space, A-Z lowered. A passage
@@ -176,46 +157,33 @@ def repeats(docs: DataFrame, similarity: float = 0.8, run_words: int = 24, recal
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            nodes, sets = [], []
             for at, texts in _texts(batch):
                 c = Cut(texts)
-                here = {(d, s, w): h for d, s, w, h in zip(c.doc.tolist(), c.start.tolist(), c.words.tolist(), c.digest.view(np.int64).tolist())}
-                for row, (text, wanted) in enumerate(zip(texts, batch.column(2).slice(at, len(texts)).to_pylist())):
-                    words = [w for w in text.lower().replace(b"\n", f" {_LINE} ".encode()).split() if w != _LINE.encode()]
+                here = {(d, s, w): i for i, (d, s, w) in enumerate(zip(c.doc.tolist(), c.start.tolist(), c.words.tolist()))}
+                digest = c.digest.view(np.int64)
+                for row, wanted in enumerate(batch.column(2).slice(at, len(texts)).to_pylist()):
                     for p in wanted:
+                        i = here.get((row, p["start"], p["words"]))
                         # Another row may hold other text under the same key.
-                        if here.get((row, p["start"], p["words"])) == p["h"]:
-                            found.append((p["h"], b" ".join(words[p["start"] : p["start"] + p["words"]]).decode()))
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], names=["h", "spelled"])
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            fits = []
-            for x, y in zip(a, b):
-                one, two = _shingle_set(x), _shingle_set(y)
-                both = len(one & two)
-                fits.append(both >= similarity * (len(one) + len(two) - both))
-            mask = pa.array(fits, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["src", "dst"])
+                        if i is not None and digest[i] == p["h"]:
+                            nodes.append(p["h"])
+                            sets.append(np.unique(c.shingles[c.first[i] : c.first[i] + c.words[i] - SHINGLE + 1]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["h", "items"])
 
     found = stored(rows.mapInArrow(cut, f"key {kind}, h long, nth int, start int, words int"), "paragraphs")
     shared = rows.mapInArrow(band, "band long, h long")
     # Every band has a centre of its own, so that two bands of the same nodes differ in it.
     centre = F.min(F.struct(F.xxhash64("band", "h"), "h")).over(Window.partitionBy("band"))["h"]
-    star = shared.withColumn("centre", centre).filter("h <> centre")
-    pairs = stored(star.select(F.least("centre", "h").alias("src"), F.greatest("centre", "h").alias("dst")).distinct(), "pairs")
-    nodes = pairs.select(F.col("src").alias("h")).union(pairs.select("dst")).distinct()
-    # One place of each node, and its words from there.
+    star = stored(shared.withColumn("centre", centre).filter("h <> centre").distinct(), "star")
+    nodes = star.select("h").union(star.select("centre")).distinct()
+    # One place of each node, and its shingles from there.
     place = F.min(F.struct("key", "start", "words")).alias("p")
     places = found.join(nodes, "h", "left_semi").groupBy("h").agg(place)
     places = places.groupBy("p.key").agg(F.collect_list(F.struct("h", "p.start", "p.words")).alias("place"))
-    spelled = rows.join(places, "key").select("key", "text", "place").mapInArrow(spell, "h long, spelled string")
-    spelled = stored(spelled, "spelled").dropDuplicates(["h"])
-    a = spelled.select(F.col("h").alias("src"), F.col("spelled").alias("a"))
-    b = spelled.select(F.col("h").alias("dst"), F.col("spelled").alias("b"))
-    verified = pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(similar, "src long, dst long")
-    roots = stored(components(verified).select(F.col("node").alias("h"), "root"), "roots")
+    sets = rows.join(places, "key").select("key", "text", "place").mapInArrow(spell, "h long, items array<long>")
+    sets = stored(sets, "sets").dropDuplicates(["h"])
+    roots = stored(components(linked(star, sets, similarity)).select(F.col("node").alias("h"), "root"), "roots")
     # Per node the documents it spans, then per cluster.
     spans = found.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     spans = spans.join(roots, "h", "left").withColumn("cluster", F.coalesce("root", "h"))

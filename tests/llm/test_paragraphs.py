@@ -123,3 +123,16 @@ def test_length_is_tested_on_the_joined_stretch(spark):
     rows = [(1, p2), (5, p1 + " " + p2), (9, p1 + " " + p2)]
     got = sorted(tuple(r) for r in paragraphs.repeats(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(5, 0, 14, 5, False), (5, 14, 14, 1, True), (9, 0, 28, 1, True)]
+
+
+def test_similar_members_meet_although_their_centre_is_another(spark):
+    """Many unlike paragraphs hold one common phrase: their bands' centres are mostly none of a pair."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=6))
+    phrase, rows = " ".join(word() for _ in range(22)), []
+    for i in range(300):
+        tail = [word() for _ in range(14)]
+        rows += [(i, f"{phrase} {' '.join(tail)}."), (1000 + i, f"{phrase} {' '.join([*tail[:-1], word()])}.")]
+    found = paragraphs.repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = {r.doc_id for r in found if r.removed and r.first_id == r.doc_id - 1000}
+    assert len(got) >= 297
