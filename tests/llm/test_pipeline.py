@@ -7,8 +7,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from scoreloop.llm import mixing, pii, quality
 from scoreloop.llm.common import stored
+from tests.llm.test_near_sets import brute_kept
 from tests.llm.test_pii import brute as brute_spans
-from tests.llm.test_simhash import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,7 +40,7 @@ def test_quality_rows(spark, stages):
 
 def test_near_dedup_rows(stages):
     rows = [(r.doc_id, r.text) for r in stages[1].collect()]
-    want = {key for key, _, least in brute_groups(rows) if key == least}
+    want = brute_kept(rows)
     assert set(keyed(stages[2])) == want and len(want) < len(rows)
 
 
