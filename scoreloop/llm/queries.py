@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloop.llm import ego_join, mixing, packing, paragraphs, pii, quality, simhash, token_files, topk, urls
+from scoreloop.llm import (
+    ego_join,
+    lines,
+    mixing,
+    packing,
+    paragraphs,
+    pii,
+    quality,
+    resampling,
+    simhash,
+    token_files,
+    topk,
+    urls,
+    whitening,
+)
 from scoreloop.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,6 +83,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_files(docs, public_tokenizers.path(TOKENIZER), end_id=2))
 
 
+def op11_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+    # The exact sums grow with the square of the rows; beyond a long only the decimal column has them.
+    return found.withColumn("deviation_exact", F.col("deviation")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.digest(docs, lines.keep_bitmaps(docs, min_docs=10))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,5 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_golay,
         op9_epsilon_grid_join,
         op10_token_files,
+        op11_segment_resampling,
+        op12_chebyshev_whitening,
+        op13_line_bitmaps,
     )
 }
