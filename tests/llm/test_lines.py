@@ -1,0 +1,117 @@
+import hashlib
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from scoreloop.llm import lines
+
+SCHEMA = "doc_id long, text string, keep string, t1 int, row string"
+STRIP = " \t\n\x0b\x0c\r"
+
+
+def cleaned(line):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(STRIP))
+
+
+def brute(rows, min_docs, keep_first=False, min_chars=1):
+    """Kept lines per row; documents in order of key (nulls last), then of the rows given."""
+    holders = defaultdict(set)
+    for i, (_, text) in enumerate(rows):
+        for line in (text or "").split("\n"):
+            holders[cleaned(line)].add(i)
+    seen, out = set(), {}
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0)):
+        kept = []
+        for line in (rows[i][1] or "").split("\n"):
+            own = cleaned(line)
+            often = len(own) >= min_chars and len(holders[own]) >= min_docs
+            if not often or (keep_first and own not in seen):
+                kept.append(line)
+            seen.add(own)
+        out[i] = kept
+    return out
+
+
+def digests(rows, kept):
+    return sorted(
+        (str(key), len((text or "").split("\n")), len((text or "").split("\n")) - len(kept[i]), hashlib.sha256("\n".join(kept[i]).encode()).hexdigest())
+        for i, (key, text) in enumerate(rows)
+    )
+
+
+def got(spark, rows, **kwargs):
+    docs = spark.createDataFrame([(k, t, "x", 1, "y") for k, t in rows], SCHEMA)
+    found = lines.digest(docs, lines.keep_bitmaps(docs, **kwargs))
+    return sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in found.collect())
+
+
+def some_rows(n=300):
+    rng = random.Random(3)
+    common = [f"Common {i}" for i in range(12)]
+    rows = []
+    for i in range(n):
+        own = [rng.choice([f"own {i} {j}", f"  {rng.choice(common)}\t", rng.choice(common).upper(), "", "é Ä"]) for j in range(rng.randint(0, 9))]
+        rows.append((i, "\n".join([*own, "Everywhere"])))
+    return rows
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+@pytest.mark.parametrize("min_docs", [1, 2, 10, 40])
+def test_equals_brute_force(spark, min_docs, keep_first):
+    rows = some_rows()
+    assert got(spark, rows, min_docs=min_docs, keep_first=keep_first) == digests(rows, brute(rows, min_docs, keep_first))
+
+
+def test_one_line_over_many_tasks(spark):
+    """The same lines in all documents, dealt over more tasks than a line needs to be decided."""
+    rows = [(i, "same\nalso same\nsame") for i in range(400)]
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for min_docs in (10, 400, 401):
+            for keep_first in (False, True):
+                assert got(spark, rows, min_docs=min_docs, keep_first=keep_first) == digests(rows, brute(rows, min_docs, keep_first)), min_docs
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_nulls_repeats_and_long_texts(spark):
+    long_text = "\n".join(["again"] * 200_000 + ["w" * 2_000_000])
+    rows = [(None, "a\nshared"), (None, None), (1, ""), (1, "shared \nb"), (1, "shared \nb"), (2, long_text), (3, "Again"), (4, "\n\n"), (5, "x\r\n\ny")]
+    assert got(spark, rows, min_docs=2) == digests(rows, brute(rows, 2))
+    assert got(spark, rows, min_docs=2, min_chars=7) == digests(rows, brute(rows, 2, min_chars=7))
+    assert got(spark, [], min_docs=2) == []
+
+
+def test_repeated_rows_lead_together(spark):
+    """Rows with equal key and text are copies of one document: each keeps the first occurrence."""
+    found = got(spark, [(1, "s\ns"), (1, "s\ns"), (2, "s")], keep_first=True)
+    assert [r[:3] for r in found] == [("1", 2, 1), ("1", 2, 1), ("2", 1, 1)]
+
+
+def test_texts_and_clashing_columns(spark):
+    rows = some_rows(60)
+    docs = spark.createDataFrame([(k, t, "x", 1, "y") for k, t in [*rows, (99, None)]], SCHEMA)
+    out = lines.drop_lines(docs, lines.keep_bitmaps(docs, min_docs=5))
+    assert out.columns == docs.columns
+    want = brute([*rows, (99, None)], 5)
+    assert {r.doc_id: r.text for r in out.collect()} == {**{k: "\n".join(want[i]) for i, (k, _) in enumerate(rows)}, 99: None}
+    assert {(r.keep, r.t1, r.row) for r in out.collect()} == {("x", 1, "y")}
+
+
+def test_bitmaps_round_trip():
+    for n in (1, 7, 8, 9, 100_000):
+        gone = np.arange(0, n, 3)
+        bitmap = lines.pack_keep(n, gone)
+        assert np.flatnonzero(~lines.unpack_keep(n, bitmap)).tolist() == gone.tolist()
+    assert len(lines.pack_keep(100_000, np.arange(0))) < 100
+
+
+def test_documents_against_brute_force(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    found = lines.digest(docs, lines.keep_bitmaps(docs, min_docs=3))
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in found.collect()) == digests(rows, brute(rows, 3))
