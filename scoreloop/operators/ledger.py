@@ -23,6 +23,7 @@ from scoreloop.functions import (
 )
 from scoreloop.functions.vocabulary import HISTORY_COLUMNS, PREDICTED, REAL
 from scoreloop.operators.project import select_present
+from scoreloop.operators.quality import LOOKUP_RULES, require_valid
 
 PATCH_PRED = f"{PREDICTED}_feedback"
 ERRORS = ("abs_error", "signed_error", "relative_error")
@@ -157,7 +158,8 @@ def training_rows(df: DataFrame) -> DataFrame:
 
 
 def lookup(df: DataFrame, email: str, key: str = "prediction_id") -> DataFrame:
-    """Plain rows of one lower-cased email with the id as ``doc_id``."""
+    """Plain rows of one lower-cased email with the id as ``doc_id``; an email too short to be one is an error."""
+    require_valid({"email": email}, LOOKUP_RULES)
     return df.filter(F.col("email") == F.lower(F.lit(email))).withColumn("doc_id", F.col(key))
 
 

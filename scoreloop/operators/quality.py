@@ -66,6 +66,20 @@ class Rule:
                 test = test & (number == F.floor(number))
         return F.coalesce(test, F.lit(False))
 
+    def admits(self, value: object) -> bool:
+        """The same test for one value, such as an argument of a lookup."""
+        if value is None:
+            return False
+        if self.min_length is not None:
+            return len(str(value)) >= self.min_length
+        if self.allowed:
+            return str(value) in {str(v) for v in self.allowed}
+        try:
+            number = float(value)
+        except (TypeError, ValueError):
+            return False
+        return self.low <= number <= self.high and (not self.whole or number.is_integer())
+
 
 # The domains of a scoring request.
 REQUEST_RULES = (
@@ -96,6 +110,13 @@ def with_reasons(df: DataFrame, rules: Iterable[Rule], out: str = "reasons") ->
     return df.withColumn(out, F.array_compact(F.array(*marks)))
 
 
+def require_valid(values: Mapping[str, object], rules: Iterable[Rule]) -> None:
+    """Raise one error naming every rule that these arguments break."""
+    broken = [r.name for r in rules if not r.admits(values.get(r.column))]
+    if broken:
+        raise ValueError(", ".join(broken))
+
+
 def split_valid(df: DataFrame, rules: Iterable[Rule]) -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantine with reasons)."""
     marked = with_reasons(df, rules)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 from functools import reduce
 
@@ -23,10 +24,11 @@ from scoreloop.plans import monitoring, scoring, training
 from scoreloop.session import configure, scratch_dir
 from scoreloop.sources import feature_groups as groups
 from scoreloop.sources.feature_store import FeatureStore, metadata_frame
-from scoreloop.sources.files import append_log, make_dataset, read_csv, read_optional, write_csv
+from scoreloop.sources.files import append_log, child_files, delete, make_dataset, read_csv, read_optional, write_csv
 from scoreloop.sources.registry import ModelRegistry
 from scoreloop.streaming.feedback import LedgerSnapshot, apply_feedback_stream, read_feedback
 from scoreloop.streaming.score import read_requests, score_stream
+from scoreloop.streaming.sync import sync_feedback_stream, sync_prediction_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,6 +119,21 @@ def feature_group_upsert(spark, sf):
     return groups.read_group(spark, root, spec.name).withColumn("timestamp", micros("timestamp"))
 
 
+@query
+def feature_group_versions(spark, sf):
+    """Two commits of one table, each read while the other is there, and the same after compaction."""
+    root, spec = _event_group(spark, sf)
+    first = groups.read_group(spark, root, spec.name, commit=1)
+    last = groups.read_group(spark, root, spec.name)
+    groups.compact_group(spark, root, spec.name)
+    folded = groups.read_group(spark, root, spec.name)
+    return reduce(DataFrame.unionByName, [
+        df.groupBy("date").agg(F.count("*").alias("rows"), F.count_if(F.col("age") == 99).alias("replaced"), F.sum(PREDICTED).alias("total"))
+        .withColumn("state", F.lit(name))
+        for name, df in (("first", first), ("last", last), ("folded", folded))
+    ])
+
+
 @query
 def feature_view(spark, sf):
     root, spec = _event_group(spark, sf)
@@ -379,6 +396,13 @@ def domain_quarantine(spark, sf):
     return bad.select("c_custkey", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query
+def domain_feedback(spark, sf):
+    """Feedback outside the domain of a feedback record, with the rules it breaks."""
+    _, bad = quality.split_valid(fx.feedback_log(spark, sf), quality.FEEDBACK_RULES)
+    return bad.select("email", micros("timestamp").alias("timestamp"), REAL, F.concat_ws(",", "reasons").alias("reasons"))
+
+
 @query
 def domain_valid_requests(spark, sf):
     valid, _ = quality.split_valid(fx.prediction_log(spark, sf), quality.REQUEST_RULES)
@@ -919,3 +943,78 @@ def stream_feedback_orphans(spark, sf):
     """Feedback that names no prediction, kept beside the snapshot."""
     _, orphans = _applied(spark, sf)
     return spark.read.parquet(orphans).select("email", micros("timestamp").alias("timestamp"), REAL)
+
+
+def _replayed(spark, start, checkpoint: str) -> None:
+    """Run a query to its end, then once more as after a failure in its last batch."""
+    start().awaitTermination()
+    last = max(child_files(spark, f"{checkpoint}/commits"), key=int)
+    delete(spark, f"{checkpoint}/commits/{last}")
+    start().awaitTermination()
+
+
+def _log_stream(spark, df: DataFrame, files: int = 6):
+    """Log rows as text in files, read a few files a batch."""
+    inbox = scratch_dir(spark, "log")
+    df.repartition(files).write.json(inbox)
+    return lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).json(inbox)
+
+
+@query
+def stream_sync_predictions(spark, sf):
+    """The prediction log into its table in micro-batches, the last one run twice."""
+    read = _log_stream(spark, fx.log_with_text_times(fx.prediction_log(spark, sf)).drop("user_id"))
+    root, checkpoint = scratch_dir(spark, "groups"), scratch_dir(spark, "cp")
+    spec = replace(groups.PREDICTION_GROUP, primary_key=("user_id", "email", "prediction_id"))
+    _replayed(spark, lambda: sync_prediction_stream(read(), root, checkpoint, spec), checkpoint)
+    return groups.read_group(spark, root, spec.name).select(
+        "prediction_id", "user_id", micros("timestamp").alias("timestamp"), "date", "experience_level", REAL, "bmi", "log_age"
+    )
+
+
+@query
+def stream_sync_feedback(spark, sf):
+    """The feedback log likewise, one row per user and time as text."""
+    log = fx.log_with_text_times(fx.feedback_log(spark, sf)).drop("user_id")
+    read = _log_stream(spark, log.groupBy("email", "timestamp").agg(F.max_by(REAL, "prediction_id").alias(REAL), F.max("prediction_id").alias("prediction_id")))
+    root, checkpoint = scratch_dir(spark, "groups"), scratch_dir(spark, "cp")
+    _replayed(spark, lambda: sync_feedback_stream(read(), root, checkpoint), checkpoint)
+    return groups.read_group(spark, root, groups.FEEDBACK_GROUP.name).select(
+        "email", "user_id", micros("timestamp").alias("timestamp"), "date", "prediction_id"
+    )
+
+
+@query
+def stream_score_distinct(spark, sf):
+    """A source that delivers every request twice and some three times: each is scored once."""
+    inbox, out, bad = (scratch_dir(spark, name) for name in ("requests", "scored", "quarantine"))
+    log = fx.prediction_log(spark, sf).drop("prediction_id", "user_id", PREDICTED)
+    again = log.unionByName(log).unionByName(log.filter("age % 2 = 0"))
+    again.repartition(6).write.option("timestampFormat", JSON_TIME).json(inbox)
+    model, low, high = _request_model(spark, sf)
+    requests = read_requests(spark, inbox, files_per_trigger=3)
+    # Repeats of a request may come with any other of the log: nothing is late within its span.
+    for stream in score_stream(requests, model, out, scratch_dir(spark, "cp"), bad, distinct_within="4000 days"):
+        stream.awaitTermination()
+    return _scored(spark.read.parquet(out), low, high).select("prediction_id", "email", "timestamp", "in_range", "two_places")
+
+
+@query
+def stream_feedback_distinct(spark, sf):
+    """A feedback source that repeats rows: broken ones are set aside once, the others patch once."""
+    inbox, orphans, bad = (scratch_dir(spark, name) for name in ("feedback", "orphans", "bad"))
+    log = fx.feedback_log(spark, sf).drop("user_id")
+    log.unionByName(log).repartition(6).write.option("timestampFormat", JSON_TIME).json(inbox)
+    snapshot = LedgerSnapshot(spark, scratch_dir(spark, "ledger"), buckets=8, compact_after=2)
+    snapshot.create(fx.prediction_log(spark, sf).select("prediction_id", "email", "timestamp", PREDICTED), ["timestamp"])
+    checkpoint = scratch_dir(spark, "cp")
+    _replayed(
+        spark,
+        lambda: apply_feedback_stream(read_feedback(spark, inbox, files_per_trigger=3), snapshot, checkpoint, orphans, bad, "4000 days"),
+        checkpoint,
+    )
+    patched = snapshot.read().filter(F.col(REAL).isNotNull())
+    parts = {"patched": patched, "orphan": spark.read.parquet(orphans), "broken": spark.read.parquet(bad)}
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count("*").alias("rows"), F.sum(REAL).alias("total")).withColumn("route", F.lit(name)) for name, df in parts.items()
+    ])

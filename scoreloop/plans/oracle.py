@@ -247,6 +247,11 @@ ORACLE: dict[str, str] = {
     "optional_table": f"with {LOG} select count(*) as predictions, 0::bigint as feedback, count(distinct email) as users from log",
     "feature_group_upsert": f"""{UPSERT} select user_id, email, epoch_us(ts) as timestamp, {r('pred')} as {PRED}, age,
       strftime(ts, '%Y-%m-%d') as date from stored""",
+    "feature_group_versions": f"""{UPSERT}, states as (
+        select 'first' as state, ts, age, pred from rows where gen = 0
+        union all select 'last', ts, age, pred from stored union all select 'folded', ts, age, pred from stored)
+      select state, strftime(ts, '%Y-%m-%d') as date, count(*) as rows, count(*) filter (age = 99) as replaced, {r('sum(pred)')} as total
+      from states group by 1, 2""",
     "feature_view": f"""{UPSERT} select user_id, count(*) as rows, {r('avg(age)')} as age, {r('avg(pred)')} as label
       from stored group by user_id""",
     "feature_group_backfill": f"""with {LOG}, t as (select *, {TEXT_TIME} as parsed from log)
@@ -331,6 +336,8 @@ ORACLE: dict[str, str] = {
     "domain_quarantine": f"""select c_custkey, concat_ws(',', case when {BALANCE_BAD} then 'c_acctbal_domain' end,
       case when {SEGMENT_BAD} then 'c_mktsegment_domain' end, case when {NAME_BAD} then 'c_name_domain' end) as reasons
       from customer where {BALANCE_BAD} or {SEGMENT_BAD} or {NAME_BAD}""",
+    "domain_feedback": f"""with {FEEDBACK} select email, epoch_us(ts) as timestamp, {r('y')} as {REAL}, '{REAL}_domain' as reasons
+      from feedback where not y between 1 and 80""",
     "domain_valid_requests": f"""with {LOG} select prediction_id, age, experience_level from log
       where {REQUEST_OK}""",
     "null_profile": f"""with {TRAINING} select * from (
@@ -450,6 +457,19 @@ ORACLE: dict[str, str] = {
     "stream_feedback_orphans": f"""with {FEEDBACK}, loose as (select * from feedback where coalesce(prediction_id, '') = '')
       select email, epoch_us(ts) as timestamp, {r('y')} as {REAL} from loose union all
       select email, epoch_us(ts + interval 1 hour), {r('y * 1.1::double')} from loose where pred is not null""",
+    "stream_sync_predictions": f"""with {LOG}, t as (select *, {TEXT_TIME} as parsed from log)
+      select prediction_id, substr(sha256(lower(email)), 1, 16) as user_id, epoch_us(parsed) as timestamp,
+        strftime(parsed, '%Y-%m-%d') as date, experience_level::int as experience_level, null::double as {REAL},
+        {r('weight_kg / (height_m * height_m)')} as bmi, {r('ln(1 + age::double)')} as log_age from t""",
+    "stream_sync_feedback": f"""with {FEEDBACK}, t as (select email, {TEXT_TIME} as parsed, prediction_id from feedback)
+      select email, substr(sha256(lower(email)), 1, 16) as user_id, epoch_us(parsed) as timestamp,
+        strftime(parsed, '%Y-%m-%d') as date, max(prediction_id) as prediction_id from t group by email, parsed""",
+    "stream_score_distinct": f"""with {LOG}, once as ({SCORED} where {REQUEST_OK})
+      select distinct prediction_id, email, timestamp, in_range, two_places from once""",
+    "stream_feedback_distinct": f"""with {FEEDBACK}, routed as (
+        select y, case when not y between 1 and 80 then 'broken' when coalesce(prediction_id, '') = '' then 'orphan' else 'patched' end as route
+        from feedback)
+      select route, count(*) as rows, {r('sum(y)')} as total from routed group by route""",
     "forest_fit": f"with {TRAINING}, {SPLIT} select split, count(*) as n, true as good from parts group by split",
     "numeric_baseline": f"with {TRAINING} select count(*) as n, true as good from training",
     "cv_mean_r2": f"with {TRAINING} select 0 as trial, {FOLD} as fold, count(*) as n, true as good from training group by all",

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,9 +15,12 @@ from scoreloop.functions import date_string, parse_timestamp
 from scoreloop.functions.vocabulary import NON_FEATURES
 from scoreloop.operators.ledger import latest_per_key, sync_feedback, sync_predictions
 from scoreloop.operators.project import feature_columns
-from scoreloop.sources.files import exists, read_json, read_optional, write_json
+from scoreloop.sources.files import exists, read_json, write_json
+from scoreloop.sources.manifest import SEQ, VersionedRows
 
 BUCKET = "key_bucket"
+# Inserts that a read merges at most before the touched partitions are folded.
+COMPACT_AFTER = 16
 
 
 @dataclass(frozen=True)
@@ -24,7 +28,7 @@ class TableSpec:
     """A feature table: name, version, key, event time, partition column.
 
     Without a partition column the table is partitioned by a hash bucket of
-    the primary key, so that an insert rewrites only the buckets it touches.
+    the primary key, so that a compaction rewrites only the buckets touched.
     The partition of a key must not change over time.
     """
 
@@ -62,8 +66,7 @@ def create_or_get(spark: SparkSession, root: str, spec: TableSpec, schema: T.Str
     """The stored spec of the table, else store this one for an empty table."""
     base = table_path(root, spec.name, spec.version)
     if exists(spark, f"{base}/spec"):
-        stored = read_json(spark, f"{base}/spec")
-        return TableSpec(**{**stored, "primary_key": tuple(stored["primary_key"])})
+        return _stored_spec(spark, root, spec.name, spec.version)
     # An empty table has no partition folder yet; the spec keeps its schema.
     empty = spec.with_partition(spark.createDataFrame([], schema))
     created = replace(spec, schema=empty.schema.json())
@@ -71,85 +74,80 @@ def create_or_get(spark: SparkSession, root: str, spec: TableSpec, schema: T.Str
     return created
 
 
-def read_group(spark: SparkSession, root: str, name: str, version: int = 1) -> DataFrame:
-    """All rows of a feature table, without the internal bucket column."""
+def _rows(spark: SparkSession, root: str, spec: TableSpec) -> VersionedRows:
+    schema = T.StructType.fromJson(json.loads(spec.schema))
+    return VersionedRows(spark, f"{table_path(root, spec.name, spec.version)}/data", spec.partition, schema, whole=("rows",))
+
+
+def _stored_spec(spark: SparkSession, root: str, name: str, version: int) -> TableSpec:
     base = table_path(root, name, version)
     if not exists(spark, f"{base}/spec"):
         raise FileNotFoundError(f"feature group {name!r} version {version}")
-    schema = T.StructType.fromJson(json.loads(read_json(spark, f"{base}/spec")["schema"]))
-    return read_optional(spark, f"{base}/data", schema).drop(BUCKET)
+    stored = read_json(spark, f"{base}/spec")
+    return TableSpec(**{**stored, "primary_key": tuple(stored["primary_key"])})
 
 
-def rewrite_partitions(
-    rows: DataFrame,
-    path: str,
-    partition: str,
-    schema: T.StructType,
-    merge: Callable[[DataFrame | None, DataFrame], DataFrame],
-) -> bool:
-    """Merge ``rows`` into the partitions of a Parquet table that they touch.
-
-    Only touched partitions are read and replaced, in one job: with dynamic
-    partition overwrite Spark writes beside the table and swaps partition
-    folders after the last task, so tasks that are run again still find the
-    old files. ``schema`` is the stored one; the partition column keeps its
-    type instead of one guessed from folder names. False when there was
-    nothing to merge.
+def _last_writes(spec: TableSpec) -> Callable[[Mapping[str, DataFrame]], DataFrame]:
+    """Rows of a later insert replace those of an earlier one; an insert holds a key once.
+
+    The partition is part of the grouping, so a filter on it reaches the scan.
     """
-    spark = rows.sparkSession
-    if exists(spark, path):
-        # One value per partition folder; bounded by the table layout. Only
-        # the columns that make up the partition value are computed here.
-        touched = [r[0] for r in rows.select(partition).distinct().collect()]
-        if not touched:
-            return False
-        inside = F.col(partition).isin([v for v in touched if v is not None])
-        if None in touched:
-            inside = F.coalesce(inside, F.lit(True))
-        current = spark.read.schema(schema).parquet(path).filter(inside)
-    elif rows.isEmpty():
-        return False
-    else:
-        current = None
-    # Rebalancing gathers each partition's rows into files of the advisory
-    # size and splits a partition that is much larger than the others.
-    (
-        merge(current, rows).hint("rebalance", partition)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
-    return True
-
-
-def insert(spark: SparkSession, root: str, spec: TableSpec, df: DataFrame, order_by: Iterable[str] = ()) -> bool:
+    keys = list(dict.fromkeys([*spec.key, spec.partition]))
+    return lambda parts: latest_per_key(reduce(DataFrame.unionByName, parts.values()), keys, [SEQ])
+
+
+def read_group(spark: SparkSession, root: str, name: str, version: int = 1, commit: int | None = None) -> DataFrame:
+    """All rows of a feature table as of one commit (the newest unless named), without the internal bucket column.
+
+    Later inserts do not change what the result reads.
+    """
+    spec = _stored_spec(spark, root, name, version)
+    return _rows(spark, root, spec).read(_last_writes(spec), commit).drop(BUCKET)
+
+
+def group_commits(spark: SparkSession, root: str, name: str, version: int = 1) -> list[int]:
+    """The commits of a feature table that can be read, oldest first."""
+    return sorted(_rows(spark, root, _stored_spec(spark, root, name, version)).versions())
+
+
+def compact_group(spark: SparkSession, root: str, name: str, version: int = 1) -> bool:
+    """Fold the inserts since the last compaction into the partitions they touch."""
+    spec = _stored_spec(spark, root, name, version)
+    return _rows(spark, root, spec).compact(_last_writes(spec))
+
+
+def expire_group(spark: SparkSession, root: str, name: str, version: int = 1, keep: int = 10) -> int:
+    """Forget all commits but the newest ones, with the files only they need."""
+    return _rows(spark, root, _stored_spec(spark, root, name, version)).expire(keep)
+
+
+def insert(
+    spark: SparkSession, root: str, spec: TableSpec, df: DataFrame, order_by: Iterable[str] = (),
+    batch: tuple[str, int] | None = None, compact_after: int = COMPACT_AFTER,
+) -> bool:
     """Insert rows by (primary key, event time): new rows replace stored ones.
 
-    Within one insert the last row in ``order_by`` wins; without an order the
-    largest row does, so that the result is the same on every run.
+    Within one insert the last row in ``order_by`` wins; without an order the largest row
+    does, so that the result is the same on every run. The insert writes its own rows only
+    and becomes visible at once; after ``compact_after`` of them the touched partitions are
+    folded. ``batch`` (source, rising number) makes a repeated insert a no-op.
     """
     spec = create_or_get(spark, root, spec, df.schema)
     rows = spec.with_partition(df)
-    schema = T.StructType.fromJson(json.loads(spec.schema))
-    unknown = [c for c in rows.columns if c not in schema.fieldNames()]
+    store = _rows(spark, root, spec)
+    unknown = [c for c in rows.columns if c not in store.schema.fieldNames()]
     if unknown:
         raise ValueError(f"columns not in feature group {spec.name!r}: {unknown}")
     order = list(order_by) or [c for c in df.columns if c not in spec.key]
-
-    def merge(current: DataFrame | None, new: DataFrame) -> DataFrame:
-        # Stored column order and types, missing columns as NULL.
-        both = new.select(*[
-            (F.col(f"`{f.name}`") if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]).withColumn("__new", F.lit(1))
-        if current is not None:
-            both = both.unionByName(current.withColumn("__new", F.lit(0)))
-        ranked = [F.col("__new"), *[F.col(f"`{c}`") for c in order]]
-        return latest_per_key(both, spec.key, ranked).drop("__new")
-
-    path = f"{table_path(root, spec.name, spec.version)}/data"
-    return rewrite_partitions(rows, path, spec.partition, schema, merge)
+    # Stored column order and types, missing columns as NULL.
+    typed = rows.select(*[
+        (F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in store.schema.fields
+    ])
+    done = store.append(latest_per_key(typed, spec.key, [F.col(f"`{c}`") for c in order]), "rows", batch)
+    if done and len(store.manifest().deltas) >= compact_after:
+        store.compact(_last_writes(spec))
+    return done
 
 
 # ---- loads from logs ------------------------------------------------------

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +24,67 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def child_dirs(spark: SparkSession, path: str) -> list[str]:
-    """Sorted names of the directories directly under ``path``."""
+def child_dirs(spark: SparkSession, path: str, before: int | None = -1) -> list[str]:
+    """Sorted names of the directories directly under ``path``.
+
+    With ``before`` (milliseconds since 1970; None: a day ago) only those last modified earlier.
+    """
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        return []
+    if before is None:
+        before = int((time.time() - 86_400) * 1000)
+    found = [s for s in fs.listStatus(p) if s.isDirectory() and (before < 0 or s.getModificationTime() < before)]
+    return sorted(s.getPath().getName() for s in found)
+
+
+def child_files(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names of the visible files directly under ``path``."""
     fs, p = _path(spark, path)
     if not fs.exists(p):
         return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+    return sorted(n for s in fs.listStatus(p) if s.isFile() and not (n := s.getPath().getName()).startswith((".", "_")))
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.delete(p, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    fs, p = _path(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A small text file that appears whole and at once; False, and nothing changed, if ``path`` is there already.
+
+    Written beside and renamed without replacing: atomic where the file system's rename is.
+    """
+    fs, target = _path(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    stream = fs.create(beside)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    try:
+        context.rename(fs.makeQualified(beside), fs.makeQualified(target), options)
+    except Py4JJavaError as e:
+        fs.delete(beside, False)
+        if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    return True
 
 
 def write_json(spark: SparkSession, path: str, document: dict) -> None:

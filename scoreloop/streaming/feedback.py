@@ -1,14 +1,18 @@
 """Streaming feedback: patches folded into a bucketed ledger snapshot.
 
-The snapshot is a Parquet table partitioned by a hash bucket of the id; a
-micro-batch rewrites only the buckets its ids fall in. Every part of a patch
-is stored with the event time it came from, and a part is replaced only by a
-later one, so late and replayed batches change nothing they should not.
+The snapshot holds versioned rows partitioned by a hash bucket of the id. A micro-batch adds
+its own writes or folded patches as a delta and becomes visible at once; reading folds the
+deltas over the merged rows, and now and then they are folded for good. Every part of a patch
+is stored with the event time it came from, and a part is replaced only by a later one, so
+late and replayed batches change nothing they should not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -22,8 +26,10 @@ from scoreloop.operators.ledger import (
     patches_from_feedback,
     route_feedback,
 )
-from scoreloop.sources.feature_groups import rewrite_partitions
+from scoreloop.operators.quality import FEEDBACK_RULES, split_valid
 from scoreloop.sources.files import exists, read_json, write_json
+from scoreloop.sources.manifest import BASE, VersionedRows
+from scoreloop.streaming.batches import query_id, without_repeats
 
 FEEDBACK_SCHEMA = (
     "prediction_id string, email string, timestamp timestamp, "
@@ -31,108 +37,114 @@ FEEDBACK_SCHEMA = (
 )
 BUCKET = "id_bucket"
 ORDERS = ("label_order", "error_order")
+WRITE, PATCH = "write", "patch"
 
 
 class LedgerSnapshot:
     """A keyed ledger on plain Parquet, updated by predictions and patches.
 
-    Its rows are the last write per id merged with the folded patches of the
-    id, in whatever order writes and patches arrive. The bucket count of an
-    existing snapshot is read from its spec.
+    Its rows are the last write per id merged with the folded patches of the id, in whatever
+    order writes and patches arrive. The bucket count and the order of writes of an existing
+    snapshot are read from its spec. A delta costs what its rows cost; after
+    ``compact_after`` of them the touched buckets are folded.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "prediction_id", buckets: int = 64):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    def __init__(self, spark: SparkSession, path: str, key: str = "prediction_id", buckets: int = 64, compact_after: int = 16):
+        self.spark, self.path, self.key, self.compact_after = spark, path.rstrip("/"), key, compact_after
         spec = f"{self.path}/spec"
         self.buckets = read_json(spark, spec)["buckets"] if exists(spark, spec) else buckets
 
-    @property
-    def data(self) -> str:
-        return f"{self.path}/data"
-
-    def _schema(self) -> T.StructType:
-        return T.StructType.fromJson(read_json(self.spark, f"{self.path}/spec")["schema"])
+    def _spec(self) -> tuple[VersionedRows, list[str]]:
+        """The stored rows, and the columns that decide between writes of one id."""
+        spec = read_json(self.spark, f"{self.path}/spec")
+        schema = T.StructType.fromJson(spec["schema"])
+        rest = [n for n in schema.fieldNames() if n not in {self.key, BUCKET, *spec["order"], *LABEL_FIELDS, *ERROR_FIELDS, *ORDERS}]
+        return VersionedRows(self.spark, f"{self.path}/data", BUCKET, schema), [*spec["order"], *rest]
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn(BUCKET, F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
 
-    def _rest(self, predictions: DataFrame, order: list[str]) -> list[str]:
-        """The columns that decide between rows of one id and one time."""
-        return [c for c in predictions.columns if c not in {self.key, *order, *LABEL_FIELDS, *ERROR_FIELDS, *ORDERS}]
-
     def create(self, predictions: DataFrame, order: list[str]) -> None:
         """Start from logged predictions, the last write per id; on a tie the larger row."""
-        base = latest_per_key(predictions, [self.key], [*order, *self._rest(predictions, order)])
+        rest = [c for c in predictions.columns if c not in {self.key, *order, *LABEL_FIELDS, *ERROR_FIELDS, *ORDERS}]
+        base = latest_per_key(predictions, [self.key], [*order, *rest])
         none = self.spark.createDataFrame([], FEEDBACK_SCHEMA)
         nothing = fold_patches(patches_from_feedback(none), "prediction_id").withColumnRenamed("prediction_id", self.key)
         rows = self._bucketed(merge_patches(base, nothing, self.key, keep_order=True))
-        write_json(self.spark, f"{self.path}/spec", {"schema": rows.schema.jsonValue(), "buckets": self.buckets})
-        rows.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(self.data)
-
-    def read(self) -> DataFrame:
-        df = self.spark.read.schema(self._schema()).parquet(self.data)
-        return df.drop(BUCKET, *ORDERS)
-
-    def put(self, predictions: DataFrame, timestamp: str = "timestamp") -> bool:
+        write_json(self.spark, f"{self.path}/spec", {"schema": rows.schema.jsonValue(), "buckets": self.buckets, "order": list(order)})
+        self._spec()[0].replace_all(rows)
+
+    def _merge(self, parts: Mapping[str, DataFrame]) -> DataFrame:
+        """Last write per id (equal times: the larger row), then the folded patches."""
+        _, order = self._spec()
+        own = [*LABEL_FIELDS, *ERROR_FIELDS]
+        writes = [
+            df.select(self.key, *order, F.when(F.lit(kind == BASE), F.struct(*own)).alias("own"))
+            for kind, df in parts.items()
+        ]
+        # A label that came with a logged row, not by a patch, is the merged row's own.
+        written = reduce(DataFrame.unionByName, writes).groupBy(self.key).agg(
+            F.max(F.struct(*order)).alias("w"), F.first("own", ignorenulls=True).alias("own")
+        ).select(self.key, "w.*", "own.*")
+        fields = [self.key, *LABEL_FIELDS, *ERROR_FIELDS, *ORDERS]
+        patches = [df.filter("label_order is not null").select(*fields) for df in parts.values()]
+        folded = fold_patches(reduce(DataFrame.unionByName, patches), self.key)
+        return self._bucketed(merge_patches(written, folded, self.key, keep_order=True))
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The ledger as of one version, the newest unless named."""
+        return self._spec()[0].read(self._merge, version).drop(BUCKET, *ORDERS)
+
+    def versions(self) -> list[int]:
+        return sorted(self._spec()[0].versions())
+
+    def compact(self) -> bool:
+        return self._spec()[0].compact(self._merge)
+
+    def _add(self, rows: DataFrame, kind: str, batch: tuple[str, int] | None) -> bool:
+        store, _ = self._spec()
+        done = store.append(self._bucketed(rows), kind, batch)
+        if done and len(store.manifest().deltas) >= self.compact_after:
+            store.compact(self._merge)
+        return done
+
+    def put(self, predictions: DataFrame, batch: tuple[str, int] | None = None) -> bool:
         """Whole-row writes: the later write of an id wins.
 
         Feedback already received for the id is kept, also when it came ahead
-        of its prediction.
+        of its prediction. ``batch`` makes a repeated call a no-op.
         """
-        schema = self._schema()
-        latest = self._bucketed(latest_per_key(predictions, [self.key], [timestamp, *self._rest(predictions, [timestamp])]))
-        patched = {*LABEL_FIELDS, *ERROR_FIELDS, *ORDERS}
-
-        def merge(current: DataFrame | None, new: DataFrame) -> DataFrame:
-            current = current if current is not None else self.spark.createDataFrame([], schema)
-            # Equal times: the larger row wins, whatever came first.
-            names = [timestamp, *self._rest(predictions, [timestamp])]
-            written, stored = (F.struct(*(F.col(f"{side}.`{c}`").alias(c) for c in names)) for side in "nc")
-            newer = F.col(f"n.{self.key}").isNotNull() & (F.col(f"c.{timestamp}").isNull() | (written >= stored))
-
-            def pick(name: str) -> Column:
-                old = F.col(f"c.`{name}`")
-                if name in patched:
-                    return old
-                if name in (self.key, BUCKET):
-                    return F.coalesce(F.col(f"n.{name}"), old)
-                fresh = F.col(f"n.`{name}`") if name in new.columns else F.lit(None)
-                return F.when(newer, fresh).otherwise(old)
-
-            return (
-                current.alias("c")
-                .join(new.alias("n"), F.col(f"c.{self.key}") == F.col(f"n.{self.key}"), "full_outer")
-                .select(*[pick(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-            )
-
-        return rewrite_partitions(latest, self.data, BUCKET, schema, merge)
-
-    def apply(self, feedback: DataFrame) -> bool:
-        """Fold feedback rows that name a prediction into the snapshot."""
-        folded = self._bucketed(fold_patches(patches_from_feedback(feedback, self.key), self.key))
-        schema = self._schema()
-
-        def merge(current: DataFrame | None, new: DataFrame) -> DataFrame:
-            new = new.drop(BUCKET)
-            current = current if current is not None else self.spark.createDataFrame([], schema)
-            stored = current.filter("label_order is not null").select(*new.columns)
-            both = fold_patches(stored.unionByName(new), self.key)
-            merged = self._bucketed(merge_patches(current.drop(BUCKET), both, self.key, keep_order=True))
-            return merged.select(*schema.fieldNames())
+        _, order = self._spec()
+        latest = latest_per_key(predictions, [self.key], [c for c in order if c in predictions.columns])
+        return self._add(latest.select(self.key, *[c for c in order if c in predictions.columns]), WRITE, batch)
 
-        return rewrite_partitions(folded, self.data, BUCKET, schema, merge)
+    def apply(self, feedback: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+        """Fold feedback rows that name a prediction into the snapshot."""
+        return self._add(fold_patches(patches_from_feedback(feedback, self.key), self.key), PATCH, batch)
 
 
-def apply_feedback_stream(feedback: DataFrame, snapshot: LedgerSnapshot, checkpoint: str, orphans: str, **trigger) -> StreamingQuery:
+def apply_feedback_stream(
+    feedback: DataFrame, snapshot: LedgerSnapshot, checkpoint: str, orphans: str, invalid: str | None = None,
+    distinct_within: str | None = None, **trigger,
+) -> StreamingQuery:
     """Patch the snapshot from a feedback stream, one micro-batch at a time.
 
-    Feedback that names no prediction is kept under ``orphans``.
+    Feedback that names no prediction is kept under ``orphans``. With ``invalid``, rows that
+    break a feedback rule go there with their reasons, and only valid ones are applied. With
+    ``distinct_within`` (see ``without_repeats``) a source that repeats rows counts each once.
     """
+    if distinct_within:
+        feedback = without_repeats(feedback, feedback.columns, "timestamp", distinct_within)
+
     def batch(df: DataFrame, batch_id: int) -> None:
         df = df.persist()
-        snapshot.apply(df)
+        good = df
+        if invalid:
+            good, bad = split_valid(df, FEEDBACK_RULES)
+            bad.write.mode("overwrite").parquet(f"{invalid}/batch={batch_id}")
+        snapshot.apply(good, (query_id(snapshot.spark, checkpoint), batch_id))
         # One folder per batch, overwritten on replay.
-        _, loose = route_feedback(df, snapshot.key)
+        _, loose = route_feedback(good, snapshot.key)
         loose.write.mode("overwrite").parquet(f"{orphans}/batch={batch_id}")
         df.unpersist()
 
@@ -147,4 +159,3 @@ def apply_feedback_stream(feedback: DataFrame, snapshot: LedgerSnapshot, checkpo
 def read_feedback(spark: SparkSession, path: str, schema: T.StructType | str = FEEDBACK_SCHEMA, fmt: str = "json", files_per_trigger: int = 1000) -> DataFrame:
     """A stream over feedback files as they arrive in a folder."""
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
-

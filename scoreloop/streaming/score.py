@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from scoreloop.operators.quality import REQUEST_RULES, split_valid
 from scoreloop.plans.scoring import score_records
+from scoreloop.streaming.batches import without_repeats
 
 # The fields of a scoring request.
 REQUEST_SCHEMA = (
@@ -16,6 +17,8 @@ REQUEST_SCHEMA = (
     "max_bpm int, avg_bpm int, resting_bpm int, session_duration_hours double, calories_burned double, "
     "workout_type string, water_intake_liters double, workout_frequency_days_week int, experience_level string"
 )
+# What tells requests apart.
+REQUEST_KEY = ("email", "timestamp")
 
 
 def read_requests(spark: SparkSession, path: str, schema: StructType | str = REQUEST_SCHEMA, fmt: str = "json", files_per_trigger: int = 1000) -> DataFrame:
@@ -24,13 +27,18 @@ def read_requests(spark: SparkSession, path: str, schema: StructType | str = REQ
 
 
 def score_stream(
-    requests: DataFrame, model: PipelineModel, out: str, checkpoint: str, quarantine: str, **trigger
+    requests: DataFrame, model: PipelineModel, out: str, checkpoint: str, quarantine: str,
+    distinct_within: str | None = None, **trigger,
 ) -> list[StreamingQuery]:
     """Append scored rows to a Parquet log; invalid requests go to ``quarantine``.
 
-    Stateless, so it needs no watermark; the file sink and the checkpoint
-    make each request appear in the log exactly once.
+    The file sink and the checkpoint make each row of the source appear in the log exactly
+    once. A source that itself repeats rows needs ``distinct_within`` (see
+    ``without_repeats``): requests of one email and time are scored once; otherwise no
+    state is kept and there is no watermark.
     """
+    if distinct_within:
+        requests = without_repeats(requests, REQUEST_KEY, "timestamp", distinct_within)
     trigger = trigger or {"availableNow": True}
     valid, invalid = split_valid(requests, REQUEST_RULES)
 

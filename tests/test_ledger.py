@@ -150,6 +150,9 @@ def test_training_rows(spark, rows):
 def test_lookup_lowers_but_does_not_trim(spark):
     assert {r["doc_id"] for r in lookup(ledger(spark), "A@B.C").collect()} == {"p1", "p2"}
     assert lookup(ledger(spark), " a@b.c").count() == 0
+    for short in ("", "ab", None):
+        with pytest.raises(ValueError, match="email_domain"):
+            lookup(ledger(spark), short)
 
 
 def test_series(spark):
