@@ -1,18 +1,18 @@
 """Exact order statistics without sorting a column in one task.
 
-Every wanted rank starts with the whole column as its bracket. A round sketches
-the values inside all brackets, takes two of them around each rank as pivots,
-and counts exactly what lies below, between and above: the part that holds the
-rank is the next bracket. Pivots are values of the column, so a bracket always
-shrinks, and the counts never leave a doubt. Once a bracket holds one value, or
-few rows, the element is read off. The number of rounds grows with the
-logarithm of the rows; no step holds more than ``last_rows`` values of a bracket.
+One pass counts every column and sketches its values; two points of the sketch bracket each
+wanted rank and its successor. A bracket that may hold many rows is counted exactly and
+sketched again, in one pass for all brackets. A bracket of few rows has its values counted one
+by one, again in one pass for all, which yields the element and proves its rank: sketches
+only steer, and a bracket that missed its rank is widened and counted again. Two passes do up
+to some hundred thousand rows; each further one does over a thousand times more.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,44 +22,100 @@ from scoreloop.functions import nan_to_null
 ACCURACY = 100_000
 # Rows of a bracket that are looked at one by one.
 LAST_ROWS = 1_000
-# Points of a sketch: two neighbours bracket a rank within about 2 / GRID of the rows.
-GRID = 256
+# Points of a sketch.
+GRID = 4096
+# As SQL text: thousands of literals one by one take seconds to build.
+POINTS = f"array({', '.join(f'{i / GRID!r}D' for i in range(GRID + 1))})"
 
 
-def _narrowed(long: DataFrame, brackets: list[dict], accuracy: int) -> list[dict]:
-    """One round: each bracket (name, column, lo, hi, start, inside, rank) becomes the part with its rank."""
-    spark = long.sparkSession
-    kind = long.schema["value"].dataType.simpleString()
-    by_name = {b["name"]: b for b in brackets}
+def _sketch(value: str, accuracy: int) -> Column:
+    return F.expr(f"percentile_approx({value}, {POINTS}, {accuracy})")
 
-    def inside(frame: DataFrame) -> DataFrame:
-        hit = (F.col("column") == F.col("b_column")) & F.col("value").between(F.col("lo"), F.col("hi"))
-        return long.join(F.broadcast(frame), hit)  # a bracket per wanted rank
 
-    bounds = spark.createDataFrame(
-        [(b["name"], b["column"], b["lo"], b["hi"]) for b in brackets], f"name int, b_column string, lo {kind}, hi {kind}"
-    )
-    points = [i / GRID for i in range(GRID + 1)]
-    pivots = []
-    for r in inside(bounds).groupBy("name").agg(F.percentile_approx("value", points, accuracy).alias("grid")).collect():
-        b, grid = by_name[r["name"]], r["grid"]
-        at = (b["rank"] - b["start"]) / b["inside"] * GRID
-        low, high = grid[max(0, int(at) - 1)], grid[min(GRID, int(at) + 2)]
-        if (low, high) == (b["lo"], b["hi"]):
-            low = high = grid[GRID // 2]
-        pivots.append((b["name"], b["column"], b["lo"], b["hi"], low, high))
-    cut = spark.createDataFrame(pivots, f"name int, b_column string, lo {kind}, hi {kind}, low {kind}, high {kind}")
-    zone = F.when(F.col("value") < F.col("low"), 0).when(F.col("value") <= F.col("high"), 1).otherwise(2)
-    parts = inside(cut).groupBy("name", zone.alias("zone")).agg(
-        F.count(F.lit(1)).alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi")
+@dataclass(frozen=True)
+class Bracket:
+    """Ranks still wanted, all inside (lo, hi); ``start`` rows lie below it, ``inside`` in it."""
+
+    column: str
+    ranks: tuple[int, ...]
+    lo: object
+    hi: object
+    start: int
+    inside: int
+    grid: tuple
+    widen: int = 1
+
+    def reach(self, accuracy: int) -> int:
+        """Sketch points around a rank that surely hold it."""
+        return self.widen * (1 + math.ceil(2 * GRID / accuracy))
+
+    def few(self, accuracy: int, last_rows: int) -> bool:
+        return self.inside * min(1.0, (2 * self.reach(accuracy) + 2) / GRID) <= last_rows
+
+    def pivots(self, accuracy: int) -> tuple[object, object]:
+        at = [(r - self.start) / self.inside * GRID for r in (self.ranks[0], self.ranks[-1] + 1)]
+        first, last = math.floor(at[0]) - self.reach(accuracy), math.ceil(at[1]) + self.reach(accuracy)
+        return (self.lo if first <= 0 else self.grid[first]), (self.hi if last >= GRID else self.grid[last])
+
+
+def _inside(long: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """Rows of ``long`` per bracket of their column, up to its upper pivot."""
+    kind = long.schema["value"].dataType.simpleString()
+    bounds = long.sparkSession.createDataFrame(cuts, f"name int, b_column string, low {kind}, high {kind}")
+    hit = F.broadcast(bounds)  # a bracket per wanted rank
+    return long.join(hit, F.col("column") == F.col("b_column")).filter(F.col("value") <= F.col("high"))
+
+
+def _narrowed(long: DataFrame, brackets: list[Bracket], accuracy: int, found: dict) -> list[Bracket]:
+    """One pass: each bracket counted between its pivots and sketched again; elements at pivots go to ``found``."""
+    cuts = [(i, b.column, *b.pivots(accuracy)) for i, b in enumerate(brackets)]
+    v, low, high = F.col("value"), F.col("low"), F.col("high")
+    open_ = (v > low) & (v < high)
+    counts = _inside(long, cuts).groupBy("name").agg(
+        F.count_if(v < low).alias("below"), F.count_if(v == low).alias("at_low"), F.count_if(open_).alias("between"),
+        F.count_if((v == high) & (high > low)).alias("at_high"), _sketch("case when value > low and value < high then value end", accuracy).alias("grid"),
     )
+    got = {r["name"]: r for r in counts.collect()}  # a row per bracket
+    out = []
+    for i, b in enumerate(brackets):
+        r, (low, high) = got.get(i), cuts[i][2:]
+        ends = [0, 0, 0, 0]
+        if r:
+            start = r["below"]
+            ends = [start, start + r["at_low"], start + r["at_low"] + r["between"], start + r["at_low"] + r["between"] + r["at_high"]]
+        inner = tuple(k for k in b.ranks if ends[1] <= k < ends[2])
+        for k in b.ranks:
+            if ends[0] <= k < ends[1]:
+                found[b.column, k] = low
+            elif ends[2] <= k < ends[3]:
+                found[b.column, k] = high
+        if inner:
+            out.append(Bracket(b.column, inner, low, high, ends[1], r["between"], tuple(r["grid"])))
+        missed = tuple(k for k in b.ranks if not ends[0] <= k < ends[3])
+        if missed:
+            out.append(replace(b, ranks=missed, widen=4 * b.widen))
+    return out
+
+
+def _read_off(long: DataFrame, brackets: list[Bracket], accuracy: int, found: dict) -> list[Bracket]:
+    """One pass: the values between the pivots counted one by one; gives the brackets that missed."""
+    cuts = [(i, b.column, *b.pivots(accuracy)) for i, b in enumerate(brackets)]
+    seen = F.when(F.col("value") >= F.col("low"), F.col("value"))
+    counts: dict[int, list[tuple]] = {}
+    for r in _inside(long, cuts).groupBy("name", seen.alias("value")).agg(F.count(F.lit(1)).alias("c")).collect():  # last_rows a bracket
+        counts.setdefault(r["name"], []).append((r["value"], r["c"]))
     out = []
-    starts = {name: b["start"] for name, b in by_name.items()}
-    for r in sorted(parts.collect(), key=lambda r: (r["name"], r["zone"])):  # three rows a bracket
-        b, start = by_name[r["name"]], starts[r["name"]]
-        if start <= b["rank"] < start + r["c"]:
-            out.append({**b, "lo": r["lo"], "hi": r["hi"], "start": start, "inside": r["c"]})
-        starts[r["name"]] = start + r["c"]
+    for i, b in enumerate(brackets):
+        own = counts.get(i, [])
+        at = sum(c for v, c in own if v is None)
+        for v, c in sorted((e for e in own if e[0] is not None), key=lambda e: e[0]):
+            for k in b.ranks:
+                if at <= k < at + c:
+                    found[b.column, k] = v
+            at += c
+        missed = tuple(k for k in b.ranks if (b.column, k) not in found)
+        if missed:
+            out.append(replace(b, ranks=missed, widen=4 * b.widen))
     return out
 
 
@@ -75,41 +131,29 @@ def order_statistics(
     ``long`` has columns (column, value) without NULLs. Each target is
     (label, row count -> 0-based rank). Result: (column, target, n, rank,
     at_rank, next), ``next`` being the following element in order (NULL after
-    the last), and any ``extra`` aggregates of the column. Runs its rounds when
-    called; a row per column and target reaches the driver.
+    the last), and any ``extra`` aggregates of the column. Runs its passes when
+    called; a sketch per column and a row per column and target reach the driver.
     """
     targets, extra, spark = list(targets), list(extra), long.sparkSession
     base = long.groupBy("column").agg(
-        F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), *extra
+        F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+        _sketch("value", accuracy).alias("grid"), *extra,
     )
     columns, wanted, brackets = base.collect(), [], []
     for r in columns:
         for label, rank_of in targets:
             rank = int(rank_of(r["n"]))
             wanted.append((r["column"], label, r["n"], rank))
-            for at in (rank, rank + 1):
-                if 0 <= at < r["n"]:
-                    brackets.append({
-                        "name": len(brackets), "column": r["column"], "lo": r["lo"], "hi": r["hi"],
-                        "start": 0, "inside": r["n"], "rank": at,
-                    })
-    while wide := [b for b in brackets if b["lo"] < b["hi"] and b["inside"] > last_rows]:
-        done = {b["name"]: b for b in _narrowed(long, wide, accuracy)}
-        brackets = [done.get(b["name"], b) for b in brackets]
-    found = {(b["column"], b["rank"]): b["lo"] for b in brackets if not b["lo"] < b["hi"]}
-    if few := [b for b in brackets if b["lo"] < b["hi"]]:
-        kind = long.schema["value"].dataType.simpleString()
-        bounds = spark.createDataFrame(
-            [(b["name"], b["column"], b["lo"], b["hi"]) for b in few], f"name int, b_column string, lo {kind}, hi {kind}"
-        )
-        hit = (F.col("column") == F.col("b_column")) & F.col("value").between(F.col("lo"), F.col("hi"))
-        values = long.join(F.broadcast(bounds), hit).groupBy("name", "value").count().collect()  # last_rows a bracket
-        for b in few:
-            at = b["start"]
-            for r in sorted((r for r in values if r["name"] == b["name"]), key=lambda r: r["value"]):
-                if at <= b["rank"] < at + r["count"]:
-                    found[b["column"], b["rank"]] = r["value"]
-                at += r["count"]
+            ranks = tuple(k for k in (rank, rank + 1) if 0 <= k < r["n"])
+            if ranks:
+                brackets.append(Bracket(r["column"], ranks, r["lo"], r["hi"], 0, r["n"], tuple(r["grid"])))
+    found: dict[tuple[str, int], object] = {}
+    while brackets:
+        wide = [b for b in brackets if not b.few(accuracy, last_rows)]
+        if wide:
+            brackets = [b for b in brackets if b.few(accuracy, last_rows)] + _narrowed(long, wide, accuracy, found)
+        else:
+            brackets = _read_off(long, brackets, accuracy, found)
     kind = long.schema["value"].dataType.simpleString()
     looked_up = spark.createDataFrame(
         [(c, label, n, rank, found.get((c, rank)), found.get((c, rank + 1))) for c, label, n, rank in wanted],
@@ -117,8 +161,8 @@ def order_statistics(
     )
     if not extra:
         return looked_up
-    kept = spark.createDataFrame(columns, base.schema).drop("n", "lo", "hi")
-    return looked_up.join(kept, "column")
+    kept = base.drop("n", "lo", "hi", "grid").schema
+    return looked_up.join(spark.createDataFrame([tuple(r[c] for c in kept.fieldNames()) for r in columns], kept), "column")
 
 
 def to_long(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -83,6 +83,49 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     )
 
 
+def pair_grid(df: DataFrame, columns: Iterable[str], bins: int = 10) -> DataFrame:
+    """Joint counts of every pair of columns on equal-width grids, empty cells included.
+
+    Columns: ``x_name, y_name, x_bin, y_bin`` (from 1), the edges ``x_low, x_high, y_low,
+    y_high`` and ``rows``. Spans and bins of a column are those of ``histogram``: over all
+    its values, the last bin holding the maximum. A row counts for a pair where both values
+    are there; pairs with a column without values are left out. All pairs are counted in one
+    pass, combined before the shuffle, which moves a row per cell and task.
+    """
+    columns = list(columns)
+    data = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    ends = [F.struct(F.min(f"c{i}").alias("lo"), F.max(f"c{i}").alias("hi")).alias(f"c{i}") for i in range(len(columns))]
+    spans = data.agg(F.struct(*ends).alias("s")).scalar()
+
+    def bin_of(i: int) -> Column:
+        lo, hi, v = spans[f"c{i}"]["lo"], spans[f"c{i}"]["hi"], F.col(f"c{i}")
+        at = F.when(hi == lo, F.lit(bins)).otherwise(F.floor((v - lo) / ((hi - lo) / bins)) + 1)
+        return F.when(v.isNotNull(), F.least(at, F.lit(bins)).cast("int"))
+
+    binned = data.select(*[bin_of(i).alias(f"b{i}") for i in range(len(columns))])
+    pairs = list(combinations(range(len(columns)), 2))
+    cells = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"b{a}").alias("x_bin"), F.col(f"b{b}").alias("y_bin")) for a, b in pairs])
+    counted = binned.select(F.inline(cells)).filter("x_bin is not null and y_bin is not null").groupBy("x", "y", "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("rows"))
+    ids = df.sparkSession.range(len(pairs) * bins * bins).select(
+        F.get(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs]), F.expr(f"int(id div {bins * bins})")).alias("p"),
+        F.expr(f"int(id div {bins} % {bins}) + 1").alias("x_bin"), F.expr(f"int(id % {bins}) + 1").alias("y_bin"),
+    ).select("p.x", "p.y", "x_bin", "y_bin")
+    full = ids.join(counted, ["x", "y", "x_bin", "y_bin"], "left")
+
+    def edges(side: str) -> list[Column]:
+        lo = F.get(F.array(*[spans[f"c{i}"]["lo"] for i in range(len(columns))]), F.col(side))
+        hi = F.get(F.array(*[spans[f"c{i}"]["hi"] for i in range(len(columns))]), F.col(side))
+        at, width = F.col(f"{side}_bin"), (hi - lo) / bins
+        return [(lo + width * (at - 1)).alias(f"{side}_low"), (lo + width * at).alias(f"{side}_high")]
+
+    names = F.array(*[F.lit(c) for c in columns])
+    out = full.select(
+        F.get(names, F.col("x")).alias("x_name"), F.get(names, F.col("y")).alias("y_name"), "x_bin", "y_bin",
+        *edges("x"), *edges("y"), F.coalesce("rows", F.lit(0)).alias("rows"),
+    )
+    return out.filter("x_low is not null and y_low is not null")
+
+
 def pair_sample(df: DataFrame, columns: Iterable[str], key: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """Scatter points (x_name, y_name, x, y) of n rows picked by key hash.
 

@@ -24,8 +24,8 @@ from scoreloop.plans import monitoring, scoring, training
 from scoreloop.session import configure, scratch_dir
 from scoreloop.sources import feature_groups as groups
 from scoreloop.sources.feature_store import FeatureStore, metadata_frame
-from scoreloop.sources.files import append_log, child_files, delete, make_dataset, read_csv, read_optional, write_csv
-from scoreloop.sources.registry import ModelRegistry
+from scoreloop.sources.files import append_log, child_files, delete, infer_csv_schema, make_dataset, read_csv, read_optional, split_csv, write_csv
+from scoreloop.sources.registry import ModelRegistry, load_preparation, save_preparation
 from scoreloop.streaming.feedback import LedgerSnapshot, apply_feedback_stream, read_feedback
 from scoreloop.streaming.score import read_requests, score_stream
 from scoreloop.streaming.sync import sync_feedback_stream, sync_prediction_stream
@@ -72,6 +72,31 @@ def csv_round_trip(spark, sf):
     return read_csv(spark, path, df.schema)
 
 
+@query
+def csv_inferred(spark, sf):
+    """Types inferred from the text of a table, and the rows they read."""
+    df = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate")
+    path = scratch_dir(spark, "csv")
+    write_csv(df.withColumn("nothing", F.lit(None).cast("string")), path)
+    return profile.table_profile(read_csv(spark, path, infer_csv_schema(spark, path)))
+
+
+@query
+def csv_bad_lines(spark, sf):
+    """Lines that do not fit are kept aside and none is lost."""
+    key, balance = F.col("c_custkey"), F.col("c_acctbal")
+    texts = fx.table(spark, sf, "customer").select(
+        F.when(key % 10 == 0, F.concat(F.lit("no key "), key)).otherwise(key.cast("string")).alias("c_custkey"), "c_name",
+        F.when(key % 11 == 0, "not, a number").otherwise(balance.cast("string")).alias("c_acctbal"),
+    )
+    path, bad = scratch_dir(spark, "csv"), scratch_dir(spark, "bad")
+    write_csv(texts, path)
+    good = split_csv(spark, path, bad, "c_custkey bigint, c_name string, c_acctbal double")
+    return good.select("c_custkey", "c_name", "c_acctbal", F.lit("read").alias("route")).unionByName(
+        spark.read.parquet(bad).select("c_custkey", "c_name", "c_acctbal", F.lit("set aside").alias("route"))
+    )
+
+
 @query
 def make_dataset_from_csv(spark, sf):
     raw = fx.prediction_log(spark, sf).select("prediction_id", "age", "weight_kg", "height_m")
@@ -638,6 +663,18 @@ def match_two_keys(spark, sf):
     return found.select("user_id", micros("timestamp").alias("timestamp"), "n", "mae")
 
 
+@query
+def pair_grid(spark, sf):
+    """Joint distributions of all pairs of numeric columns."""
+    return profile.pair_grid(fx.table(spark, sf, "part"), ["p_partkey", "p_size", "p_retailprice"], 8)
+
+
+@query
+def pair_grid_lines(spark, sf):
+    lines = fx.table(spark, sf, "lineitem")
+    return profile.pair_grid(lines, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 10).select("x_name", "y_name", "x_bin", "y_bin", "rows")
+
+
 @query
 def pair_points(spark, sf):
     return profile.pair_sample(fx.table(spark, sf, "part"), ["p_size", "p_retailprice"], "p_partkey", 200)
@@ -734,6 +771,18 @@ def prepared_vector(spark, sf):
     return out.select(fx.KEY, *[F.get(v, F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
+@query
+def prepared_vector_reloaded(spark, sf):
+    """The fitted preparation saved as an artifact, loaded and applied."""
+    df, root = fx.with_gaps(fx.training_set(spark, sf)), scratch_dir(spark, "models")
+    _, model = prep.fit_transform(df, ["l_quantity", "l_discount"], ["l_returnflag"])
+    save_preparation(model, root)
+    v = vector_to_array("features")
+    names = ["l_quantity", "l_discount", "flag_a", "flag_n", "flag_r"]
+    out = load_preparation(spark, root).transform(df)
+    return out.select(fx.KEY, *[F.get(v, F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
 @query
 def wide_feature_table(spark, sf):
     return prep.feature_table(fx.table(spark, sf, "customer"), ["c_acctbal"], ["c_mktsegment"], ["c_custkey"])
@@ -793,6 +842,16 @@ def cv_mean_r2(spark, sf):
     return scores.select("trial", "fold", "n", _good())
 
 
+@query
+def cv_contiguous(spark, sf):
+    """Cross-validation over contiguous folds in the order of a key."""
+    place = F.split(fx.KEY, "-")
+    df = fx.training_set(spark, sf).withColumn("place", place[0].cast("bigint") * 10 + place[1].cast("bigint"))
+    df = split.contiguous_folds(df.dropDuplicates(["place"]), "place", 3)
+    scores = forest.cross_validate(df, fx.LABEL, [{"trees": 10}], fx.NUMERIC, fx.CATEGORICAL, fit_rows=2_000, partitions=8)
+    return scores.select("trial", "fold", "n", _good())
+
+
 @query
 def search_trials(spark, sf):
     """The first draws of the search with all their parameters, three folds each."""

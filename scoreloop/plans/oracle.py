@@ -238,8 +238,38 @@ def profile(types: dict[str, str], source: str, ctes: str) -> str:
     return f"with {ctes} {rows}"
 
 
+def pair_grid(table: str, columns: list[str], bins: int, edges: bool = True) -> str:
+    """Joint counts on equal-width grids, from the definition: bins of both columns by their own span."""
+    at = "case when {h} = {l} then {b} else least(floor(({v} - {l}) / (({h} - {l}) / {b})) + 1, {b}) end::int"
+    parts = []
+    for i, x in enumerate(columns):
+        for y in columns[i + 1:]:
+            cut = ", ".join(at.format(v=f"{c}::double", l=f"{s}l", h=f"{s}h", b=bins) + f" as {s}_bin" for s, c in (("x", x), ("y", y)))
+            lows = ", ".join(
+                f"{r(f'{s}l + ({s}h - {s}l) / {bins} * ({s}_bin - 1)')} as {s}_low, {r(f'{s}l + ({s}h - {s}l) / {bins} * {s}_bin')} as {s}_high"
+                for s in "xy"
+            )
+            parts.append(f"""select '{x}' as x_name, '{y}' as y_name, x_bin, y_bin, {lows + ',' if edges else ''} coalesce(n, 0) as rows
+              from (select unnest(range(1, {bins + 1}))::int as x_bin) cross join (select unnest(range(1, {bins + 1}))::int as y_bin)
+              cross join (select min({x})::double as xl, max({x})::double as xh, min({y})::double as yl, max({y})::double as yh from {table})
+              left join (select x_bin, y_bin, count(*) as n from (select {cut} from {table},
+                (select min({x})::double as xl, max({x})::double as xh, min({y})::double as yl, max({y})::double as yh from {table})
+                where {x} is not null and {y} is not null) group by all) using (x_bin, y_bin)""")
+    return union(parts)
+
+
 ORACLE: dict[str, str] = {
     "csv_round_trip": f"select c_custkey, c_name, {r('c_acctbal')} as c_acctbal, c_mktsegment from customer",
+    "csv_inferred": union(
+        f"select {i} as ordinal, '{c}' as column, '{t}' as dtype, count(*) as rows, count({v}) as non_null from lineitem"
+        for i, (c, t, v) in enumerate([
+            ("l_orderkey", "int", "1"), ("l_linenumber", "int", "1"), ("l_extendedprice", "double", "1"), ("l_returnflag", "string", "1"),
+            ("l_shipdate", "timestamp", "1"), ("nothing", "string", "null"),
+        ])
+    ),
+    "csv_bad_lines": f"""select case when c_custkey % 10 <> 0 then c_custkey end as c_custkey, c_name,
+      case when c_custkey % 11 <> 0 then {r('c_acctbal')} end as c_acctbal,
+      case when c_custkey % 10 = 0 or c_custkey % 11 = 0 then 'set aside' else 'read' end as route from customer""",
     "make_dataset_from_csv": f"""with {LOG} select prediction_id, age, {r('weight_kg')} as weight_kg, {r('height_m')} as height_m,
       {r('weight_kg / (height_m * height_m)')} as bmi, {r('ln(age::double)')} as log_age from log""",
     "append_log_sink": """select o_orderstatus, count(*) as rows, sum(o_orderkey)::bigint as key_sum
@@ -453,6 +483,8 @@ ORACLE: dict[str, str] = {
       <= ceil(0.2 * count(*) over ()) then 'test' else 'train' end as split from orders""",
     "split_bucket": f"select o_orderkey, case when {BUCKET.format(k='o_orderkey')} then 'test' else 'train' end as split from orders",
     "folds_contiguous": "select o_orderkey, (ntile(7) over (order by o_orderkey) - 1)::int as fold from orders",
+    "pair_grid": pair_grid("part", ["p_partkey", "p_size", "p_retailprice"], 8),
+    "pair_grid_lines": pair_grid("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 10, edges=False),
     "stream_feedback": PATCHED_ROWS,
     "stream_feedback_orphans": f"""with {FEEDBACK}, loose as (select * from feedback where coalesce(prediction_id, '') = '')
       select email, epoch_us(ts) as timestamp, {r('y')} as {REAL} from loose union all
@@ -473,6 +505,10 @@ ORACLE: dict[str, str] = {
     "forest_fit": f"with {TRAINING}, {SPLIT} select split, count(*) as n, true as good from parts group by split",
     "numeric_baseline": f"with {TRAINING} select count(*) as n, true as good from training",
     "cv_mean_r2": f"with {TRAINING} select 0 as trial, {FOLD} as fold, count(*) as n, true as good from training group by all",
+    "cv_contiguous": f"""with {TRAINING}, places as (
+        select distinct split_part(row_key, '-', 1)::bigint * 10 + split_part(row_key, '-', 2)::bigint as place from training),
+      folds as (select (ntile(3) over (order by place) - 1)::int as fold from places)
+      select 0 as trial, fold, count(*) as n, true as good from folds group by fold""",
     "search_trials": union(
         f"select {i} as trial, {t} as trees, {d} as depth, {leaf} as min_leaf, true as good" for i, (t, d, leaf) in enumerate(draws(2))
     ),
@@ -493,3 +529,4 @@ ORACLE: dict[str, str] = {
 _m = regression("l_extendedprice", "(2100 * l_quantity + 5 * l_linenumber)", 1000)
 ORACLE["regression_metrics_r2"] = f"""select l_returnflag, l_linestatus, count(*) as n, {_m['mae']} as mae_k, {_m['rmse']} as rmse_k,
   {_m['r2']} as r2 from lineitem group by l_returnflag, l_linestatus"""
+ORACLE["prepared_vector_reloaded"] = ORACLE["prepared_vector"]

@@ -7,7 +7,7 @@ import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +105,68 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 
 
+# Types that an inferred column may have, narrowest first.
+INFERRED = ("int", "bigint", "double", "boolean", "date", "timestamp")
+# Texts that casts read but that mean more, or less, than the type holds.
+SHAPES = {"boolean": r"^(?i)(true|false)$", "date": r"^\d{4}-\d{1,2}-\d{1,2}$"}
+CORRUPT = "_corrupt_record"
+# Rows that teach a schema.
+SCHEMA_ROWS = 10_000
+
+
+def infer_csv_schema(spark: SparkSession, path: str, rows: int = SCHEMA_ROWS) -> T.StructType:
+    """The narrowest type per column that reads every value of the first ``rows`` rows.
+
+    All columns and types are tried in one aggregate; a column without a value is text. Rows
+    beyond may not fit: ``split_csv`` sets them aside.
+    """
+    texts = read_csv(spark, path, _all_text(spark, path)).limit(rows)
+
+    def misfits(v: Column, kind: str) -> Column:
+        fits = v.try_cast(kind).isNotNull()
+        return F.count_if(v.isNotNull() & ~(fits & v.rlike(SHAPES[kind]) if kind in SHAPES else fits)).alias(kind)
+
+    values = [F.trim(F.col(f"`{c}`")) for c in texts.columns]
+    fits = [F.struct(F.count(v).alias("n"), *[misfits(v, t) for t in INFERRED]).alias(f"c{i}") for i, v in enumerate(values)]
+    found = texts.agg(*fits).first()
+    kinds = [next((t for t in INFERRED if own["n"] and not own[t]), "string") for own in found]
+    return T.StructType([T.StructField(c, T._parse_datatype_string(t)) for c, t in zip(texts.columns, kinds)])
+
+
+def _all_text(spark: SparkSession, path: str) -> T.StructType:
+    """Every column of the header as text."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    header = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
+
+
+def split_csv(
+    spark: SparkSession, path: str, quarantine: str, schema: T.StructType | str | None = None, rows: int = SCHEMA_ROWS
+) -> DataFrame:
+    """Rows of a CSV with a header that fit its schema; all other lines go to ``quarantine``, whole.
+
+    Without a schema one is inferred. A line does not fit when a value has another type or
+    the number of fields is wrong. ``quarantine`` gets the line as ``line`` and what could
+    be read of it; it is written when this is called.
+    """
+    if schema is None:
+        schema = infer_csv_schema(spark, path, rows)
+    elif isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    known = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    # Whether a line fits depends on all its fields, whichever a query wants later.
+    every = reader.option("columnPruning", "false").schema(known).csv(path)
+    # Spark refuses to read the whole line alone, so a field goes with it.
+    field = F.length(F.coalesce(F.col(f"`{schema.fieldNames()[0]}`").cast("string"), F.lit(""))) >= 0
+    bad = every.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), *[f"`{n}`" for n in schema.fieldNames()])
+    bad.write.mode("overwrite").parquet(quarantine)
+    return every.filter(F.col(CORRUPT).isNull() & field).drop(CORRUPT)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Overwrite with a header in every part file and no index column."""
     df.write.mode("overwrite").option("header", True).csv(path)

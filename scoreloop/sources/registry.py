@@ -24,6 +24,20 @@ def save_with_copy(model: PipelineModel, root: str, name: str, on: date | None =
     return paths
 
 
+def save_preparation(model: PipelineModel, root: str, name: str = "preparation") -> str:
+    """A fitted preparation as an artifact of its own, beside the models that use it."""
+    path = f"{root.rstrip('/')}/{name}"
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_preparation(spark: SparkSession, root: str, name: str = "preparation") -> PipelineModel:
+    path = f"{root.rstrip('/')}/{name}"
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return PipelineModel.load(path)
+
+
 def numeric_metrics(metrics: dict) -> dict[str, float]:
     """Numbers only; the required ones default to -1."""
     numbers = {

@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from scoreloop.session import scratch_dir
 from scoreloop.sources import feature_groups as G
 from scoreloop.sources.feature_store import FeatureStore, dated_version, metadata_frame
-from scoreloop.sources.files import append_log, child_dirs, exists, make_dataset, read_csv, read_optional, write_csv
+from scoreloop.sources.files import (
+    append_log,
+    child_dirs,
+    exists,
+    infer_csv_schema,
+    make_dataset,
+    read_csv,
+    read_optional,
+    split_csv,
+    write_csv,
+)
 
 SCHEMA = "user_id string, email string, timestamp timestamp, value double"
 
@@ -27,6 +37,25 @@ def test_csv_round_trip(spark, tmp_path):
         read_csv(spark, str(tmp_path / "none.csv"))
 
 
+def test_inferred_schema_and_bad_lines(spark, tmp_path):
+    path, bad = str(tmp_path / "t.csv"), str(tmp_path / "bad")
+    lines = ["i,big,d,b,day,ts,s,none"] + [f"{k},{k}000000000000,{k}.5,true,2024-01-0{k},2024-01-0{k} 10:00:00,{k}x," for k in range(1, 6)]
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    schema = infer_csv_schema(spark, path)
+    assert [f.dataType.simpleString() for f in schema] == ["int", "bigint", "double", "boolean", "date", "timestamp", "string", "string"]
+    assert split_csv(spark, path, bad).count() == 5 and spark.read.parquet(bad).count() == 0
+    # Beyond the rows that taught the schema: a wrong type, a field too few, one too many.
+    broken = ["x,1,1.5,true,2024-01-01,2024-01-01 10:00:00,s,", "7,1", "8,1,1.5,true,2024-01-01,2024-01-01 10:00:00,s,n,extra"]
+    (tmp_path / "t.csv").write_text("\n".join(lines + broken) + "\n")
+    good = split_csv(spark, path, bad, rows=5)
+    assert sorted(r["i"] for r in good.collect()) == [1, 2, 3, 4, 5] and good.columns == ["i", "big", "d", "b", "day", "ts", "s", "none"]
+    assert sorted(r["line"] for r in spark.read.parquet(bad).collect()) == sorted(broken)
+    assert [f.dataType.simpleString() for f in infer_csv_schema(spark, path)][0] == "string"
+    for call in (lambda: infer_csv_schema(spark, str(tmp_path / "no")), lambda: split_csv(spark, str(tmp_path / "no"), bad, "i int")):
+        with pytest.raises(FileNotFoundError):
+            call()
+
+
 def test_make_dataset(spark, tmp_path):
     df = spark.createDataFrame([(35, 75.0, 1.78)], "age int, weight_kg double, height_m double")
     write_csv(df, str(tmp_path / "raw"))
