@@ -1,27 +1,31 @@
 """Links between sets of a high Jaccard similarity, and documents without near copies.
 
 Sets that share a MinHash band are compared with the exact Jaccard similarity of their hashed
-shingles. First every member meets its band's centre; then all members of a band that are still
-in different components meet each other where they share one of their rarest shingles, as every
-similar pair does. So the components hold all similar pairs that share a band, and neither a
-large group of near copies nor a band of unlike sets needs all its pairs.
+shingles. Every member meets its band's centre, and other centres after it while components
+still differ; members that remain apart are compared block by block. So the components hold all
+similar pairs that share a band, a large group of near copies falls together without its pairs,
+and a band of unlike sets never makes a row per pair.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scoreloop.llm.common import components, stored
 
 SHINGLE = 5
+# Centres a band has one after another at most; a turn goes on to the next if one in so many of its pairs is a link.
+TURNS, GAIN = 8, 10
+# Items of a block of sets, and of a matrix at a time.
+BLOCK_ITEMS, COLUMNS = 1 << 16, 4096
 _ODD = [np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -46,7 +50,14 @@ def linked(star: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Verified links ``(src, dst)``; their components hold all similar pairs that share a band.
 
     ``star`` has ``(band, h, centre)`` for each member that is not its band's centre, and
-    ``sets`` one row ``(h, items)`` per member, ``items`` without repeats.
+    ``sets`` one row ``(h, items)`` per member, ``items`` without repeats in one order for all.
+
+    A round compares every member of a band with one centre, unless both are in the same
+    component by then, and takes another centre next time, so a large group of near copies
+    falls into one component after a few rounds of one pair per member. Rounds end when they
+    link few of their pairs: what is still apart then, in bands of more than one component, is
+    compared in full in blocks of bounded size, and only links leave a task, one for a set and
+    a component on the other side.
     """
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,27 +76,97 @@ def linked(star: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         b = sets.select(F.col("h").alias("dst"), F.col("items").alias("b"))
         return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(similar, "src long, dst long")
 
-    pairs = star.select(F.least("centre", "h").alias("src"), F.greatest("centre", "h").alias("dst")).distinct()
-    first = stored(verified(pairs), "first_links")
-    roots = components(first).select(F.col("node").alias("h"), "root")
+    def ordered(one: str, two: str) -> list[Column]:
+        return [F.least(one, two).alias("src"), F.greatest(one, two).alias("dst")]
+
+    def close(n: str, m: str) -> Column:
+        """Sets whose sizes are further apart cannot be that similar."""
+        return F.least(n, m) >= similarity * F.greatest(n, m)
+
+    def merged(members: DataFrame, links: DataFrame) -> DataFrame:
+        """Members with their components after more links; only components that change are looked at."""
+        part = members.select("h", "part").distinct()
+        ends = links.join(part.select(F.col("h").alias("src"), F.col("part").alias("p")), "src")
+        ends = ends.join(part.select(F.col("h").alias("dst"), F.col("part").alias("q")), "dst")
+        roots = components(ends.select(F.col("p").alias("src"), F.col("q").alias("dst"))).select(F.col("node").alias("part"), "root")
+        grown = members.join(roots, "part", "left").select("band", "h", "n", F.coalesce("root", "part").alias("part"))
+        # Bands of one component are done.
+        split = grown.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("band")
+        return stored(grown.join(split, "band", "left_semi"), "members")
+
     members = star.select("band", "h").union(star.select("band", "centre")).distinct()
-    members = members.join(sets.select("h", F.size("items").alias("n")), "h").join(roots, "h", "left")
-    members = stored(members.select("band", "h", "n", F.coalesce("root", "h").alias("part")), "members")
-    open_ = members.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("band")
-    open_ = stored(members.join(open_, "band", "left_semi").select("h", "n", "part").distinct(), "open")
-    # Similar sets share one of their rarest items, so many as may be missing and one more.
-    items = stored(open_.join(sets, "h").select("h", "n", "part", F.explode("items").alias("item")), "items")
-    often = items.groupBy("item").agg(F.count("*").alias("often"))
-    rarest = Window.partitionBy("h").orderBy("often", "item")
-    ranked = items.join(often, "item").withColumn("nth", F.row_number().over(rarest))
-    left = ranked.filter((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & (F.col("often") > 1)).select("item", "h", "n", "part")
-    left = stored(left, "prefixes")
-    right = left.select("item", *(F.col(c).alias(f"_{c}") for c in ("h", "n", "part")))
-    # Sets whose sizes are further apart cannot be that similar.
-    near = (F.col("h") < F.col("_h")) & (F.col("part") != F.col("_part")) & (F.least("n", "_n") >= similarity * F.greatest("n", "_n"))
-    rest = left.join(right, "item").filter(near).select(F.col("h").alias("src"), F.col("_h").alias("dst")).distinct()
-    rest = rest.join(pairs, ["src", "dst"], "left_anti")
-    return first.union(verified(rest))
+    members = members.join(sets.select("h", F.size("items").alias("n")), "h").select("band", "h", "n", F.col("h").alias("part"))
+    members = stored(members, "members")
+    first = star.select(*ordered("centre", "h")).distinct()
+    found, compared = [], [stored(first, "pairs")]
+    for turn in range(1, TURNS + 1):
+        found.append(stored(verified(compared[-1]), "found_links"))
+        members = merged(members, found[-1])
+        # A turn that links few of its pairs shows bands of unlike sets, which more turns do not merge.
+        tried, linked_now = compared[-1].count(), found[-1].count()
+        if linked_now * GAIN < tried or turn == TURNS:
+            break
+        order = F.struct(F.xxhash64("h", F.lit(turn)).alias("x"), "h", "n", "part")
+        centre = members.groupBy("band").agg(F.min(order).alias("m")).select(
+            "band", F.col("m.h").alias("_h"), F.col("m.n").alias("_n"), F.col("m.part").alias("_part")
+        )
+        pairs = members.join(centre, "band").filter((F.col("part") != F.col("_part")) & close("n", "_n")).select(*ordered("h", "_h")).distinct()
+        compared.append(stored(pairs.join(reduce(DataFrame.union, compared), ["src", "dst"], "left_anti"), "pairs"))
+    # What is still apart is compared in blocks of a bounded number of items, band by band.
+    spread = members.groupBy("band").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / float(BLOCK_ITEMS)).cast("int")).alias("k"))
+    rows = members.join(spread, "band").select("band", "h", "part", F.pmod(F.xxhash64("h", F.lit("block")), F.col("k")).cast("int").alias("block"))
+    rows = rows.join(sets, "h").groupBy("band", "block").agg(F.collect_list(F.struct("h", "part", "items")).alias("rows"))
+    blocks = stored(rows, "set_blocks")
+    pairs = spread.select("band", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("a"))
+    pairs = pairs.select("band", "a", F.explode(F.sequence(F.col("a"), F.col("k") - 1)).alias("b"))
+    side = lambda s: blocks.select("band", F.col("block").alias(s), F.col("rows").alias(f"rows_{s}"))
+    met = pairs.join(side("a"), ["band", "a"]).join(side("b"), ["band", "b"]).select("rows_a", "rows_b")
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two = (_unpacked(batch.column(c)[i].values) for c in (0, 1))
+                src, dst = _similar_across(one, two, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst))], names=["src", "dst"])
+
+    return reduce(DataFrame.union, [*found, met.mapInArrow(crossed, "src long, dst long").distinct()])
+
+
+def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, components, sizes, and all items of a block one set after another."""
+    lists = rows.field("items")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    own = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("h", "part"))
+    return *own, sizes, lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _similar_across(one: tuple, two: tuple, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of two blocks in different components, one per set and component on the other side.
+
+    Shared items are counted by products of 0-1 matrices over the items both blocks have.
+    """
+    (h1, p1, n1, i1), (h2, p2, n2, i2) = one, two
+    common = np.intersect1d(i1, i2)
+    both = np.zeros((len(h1), len(h2)), np.float32)
+    where = []
+    for items, sizes in ((i1, n1), (i2, n2)):
+        at = np.minimum(np.searchsorted(common, items), max(0, len(common) - 1))
+        hit = common[at] == items if len(common) else np.zeros(len(items), bool)
+        where.append((np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]))
+    for low in range(0, len(common), COLUMNS):
+        held = []
+        for (row, at), h in zip(where, (h1, h2)):
+            here = (at >= low) & (at < low + COLUMNS)
+            m = np.zeros((len(h), min(COLUMNS, len(common) - low)), np.float32)
+            m[row[here], at[here] - low] = 1
+            held.append(m)
+        both += held[0] @ held[1].T
+    # Sums of ones are exact in single precision up to 16 million shared items.
+    shared = both.astype(np.float64)
+    fits = (shared >= similarity * (n1[:, None] + n2[None, :] - shared)) & (p1[:, None] != p2[None, :])
+    a, b = np.nonzero(fits)
+    _, first = np.unique(np.stack((a, p2[b])), axis=1, return_index=True)
+    return h1[a[first]], h2[b[first]]
 
 
 def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +199,7 @@ def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return rolled[keep], np.concatenate(([0], np.cumsum(keep)))[begin]
 
 
-def keep_first(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, band_rows: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, band_rows: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies; all columns as they are.
 
     Two texts are linked where their sets of five-word shingles have a Jaccard similarity of
@@ -129,6 +210,7 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999,
     of each other. 64-bit hashes stand for shingles, sets and texts.
     """
     bands = bands_for(similarity, recall, band_rows)
+    halves = -(-bands * band_rows // 2)
     tag = F.xxhash64(F.col(key), F.col(text))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), tag.alias("tag"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -153,10 +235,16 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999,
             for _, found, at in parts(batch.column(1).cast(pa.binary()).to_pylist()):
                 some = np.flatnonzero(np.diff(at))
                 own = np.zeros((len(at) - 1, bands), np.uint64)
+                least = np.zeros((2 * halves, len(some)), np.uint64)
+                for k in range(halves if len(some) else 0):
+                    # The halves of one mix are two hash functions.
+                    mixed = mix(found ^ salt(k))
+                    least[2 * k] = np.minimum.reduceat(mixed >> np.uint64(32), at[some])
+                    least[2 * k + 1] = np.minimum.reduceat(mixed & np.uint64(0xFFFFFFFF), at[some])
                 for b in range(bands):
                     value = np.full(len(some), b, np.uint64)
-                    for r in range(band_rows if len(some) else 0):
-                        value = mix(value * _ODD[0] + np.minimum.reduceat(mix(found ^ salt(b * band_rows + r)), at[some]))
+                    for r in range(band_rows):
+                        value = mix(value * _ODD[0] + least[b * band_rows + r])
                     own[some, b] = value
                 nodes += [node(np.unique(found[s:e])) for s, e in zip(at, at[1:])]
                 values.append(own)

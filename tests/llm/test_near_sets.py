@@ -81,3 +81,35 @@ def test_members_far_from_their_centre_meet_each_other(spark):
     star = spark.createDataFrame([(7, 2, 1), (7, 3, 1)], "band long, h long, centre long")
     found = linked(star, spark.createDataFrame(sets, "h long, items array<long>"), 0.8).collect()
     assert [tuple(r) for r in found] == [(2, 3)]
+
+
+def brute_roots(sets, similarity):
+    group = {h: h for h, _ in sets}
+    for (i, a), (j, b) in combinations(sets, 2):
+        if jaccard(set(a), set(b)) >= similarity:
+            low, high = sorted((group[i], group[j]))
+            group = {h: low if g == high else g for h, g in group.items()}
+    return group
+
+
+def test_links_of_large_and_unlike_bands_equal_brute_force(spark, monkeypatch):
+    """One band of near copies around 0.8, unlike sets and stragglers, in blocks far smaller than the band."""
+    monkeypatch.setattr(near_sets, "BLOCK_ITEMS", 500)
+    monkeypatch.setattr(near_sets, "COLUMNS", 64)
+    rng = random.Random(4)
+    base, sets = rng.sample(range(1 << 40), 60), []
+    for h in range(1, 160):
+        items = set(base if h % 4 else rng.sample(range(1 << 40), 60))
+        for old in rng.sample(sorted(items), rng.randint(0, 9)):
+            items.remove(old)
+            items.add(rng.randrange(1 << 40))
+        sets.append((h, sorted(items)))
+    sets += [(900, sorted(rng.sample(base, 49))), (901, sets[3][1][:50])]
+    star = spark.createDataFrame([(5, h, 1) for h, _ in sets[1:]] + [(6, h, 4) for h in (8, 12, 900)], "band long, h long, centre long")
+    links = linked(star, spark.createDataFrame(sets, "h long, items array<long>"), 0.8)
+    group = {h: h for h, _ in sets}
+    for r in links.collect():
+        low, high = sorted((group[r.src], group[r.dst]))
+        group = {h: low if g == high else g for h, g in group.items()}
+        assert jaccard(set(dict(sets)[r.src]), set(dict(sets)[r.dst])) >= 0.8
+    assert group == brute_roots(sets, 0.8)
