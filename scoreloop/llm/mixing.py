@@ -6,8 +6,8 @@ into 0 or 1 without changing their sum: two documents meet, and mass moves at ra
 one to the other until one of them is integral; the other goes on with what is left.
 
 The meetings form a reduction tree. Documents are put into cells of about ``CELL`` rows of
-one source and of similar size; a cell is folded in order of size and leaves one document
-that is still fractional. These meet in the next level's cells, until a source has one,
+one source and of similar size; a cell is folded from the largest size down, so that what is
+left undecided tends to be small, and leaves one document that is still fractional. These meet in the next level's cells, until a source has one,
 which a last draw decides. Masses are integers (``UNIT`` is one copy), so nothing is lost on
 the way, and every draw is a hash of the two documents, so reruns agree.
 """
@@ -100,7 +100,7 @@ def rounded(rows: DataFrame, cell: int = CELL, seed: int = 0) -> DataFrame:
         dealt = rows.join(need, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")))
         dealt = dealt.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed + level), "rid"), F.col("cells")))
         # A cell holds about ``cell`` rows however many its source has.
-        items = dealt.groupBy("source", "class", "cell").agg(F.array_sort(F.collect_list(F.struct("size", "rid", "mass"))).alias("items"))
+        items = dealt.groupBy("source", "class", "cell").agg(F.sort_array(F.collect_list(F.struct("size", "rid", "mass")), asc=False).alias("items"))
         folded = stored(items.select("source", _fold(F.col("items"), kind, seed + level).alias("f")), "folded")
         decided.append(folded.select(F.explode("f.done").alias("d")).select("d.rid", "d.up"))
         held = folded.select("source", "f.held.size", "f.held.rid", "f.held.mass")
@@ -116,42 +116,92 @@ def rounded(rows: DataFrame, cell: int = CELL, seed: int = 0) -> DataFrame:
     return out
 
 
-def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
-    """``(key, occurrence, source, size, source_size, target, copies)`` for every row.
+def _words(text: Column) -> Column:
+    return F.coalesce(F.size(F.regexp_extract_all(text.cast("string"), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
+
+
+def _digest(source: Column, text: Column) -> Column:
+    """Tells rows of one key apart; equal rows may stand for each other."""
+    return F.xxhash64(source.isNull(), source, text.isNull(), text.cast("string"))
 
-    ``size`` is the number of words of the whole text (null: 0). Rows that repeat a key are
-    told apart by ``occurrence``, in order of size and source. A document without words is
-    copied once; it adds nothing to any target. An empty table gives no rows.
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``nth``, from 1, among rows of equal ``key`` and ``h``.
+
+    ``part`` says which task wrote a row: each part of a group numbers its own rows, on top of
+    the counts of the parts before, so a group that holds a third of all rows is no single task.
     """
-    words = F.coalesce(F.size(F.regexp_extract_all(F.col(text).cast("string"), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
-    sized = stored(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size")), "sizes")
+    local = F.row_number().over(Window.partitionBy("key", "h", "part").orderBy("h"))
+    group = Window.partitionBy("key", "h").orderBy("part")
+    parts = rows.groupBy("key", "h", "part").count()
+    before = F.sum("count").over(group.rowsBetween(Window.unboundedPreceding, -1))
+    # Most groups have one part and need no offset.
+    later = parts.withColumn("before", before).filter("before IS NOT NULL")
+    later = later.select(F.col("key").alias("_key"), F.col("h").alias("_h"), F.col("part").alias("_part"), "before")
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h")) & (F.col("part") == F.col("_part"))
+    met = rows.withColumn("local", local).join(later, same, "left")
+    return met.withColumn("nth", F.col("local") + F.coalesce("before", F.lit(0))).drop("local", "before", "_key", "_h", "_part")
+
+
+def _copies(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+    """``(key, h, nth, source, size, source_size, target, copies)`` for every row."""
+    sized = docs.select(
+        F.col(key).alias("key"), F.col(source).alias("source"), _words(F.col(text)).alias("size"),
+        _digest(F.col(source), F.col(text)).alias("h"), F.spark_partition_id().alias("part"),
+    )
+    sized = stored(sized, "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = stored(targets(totals), "targets").withColumnRenamed("source", "_source")
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("size", "source"))
-    rows = sized.withColumn("occurrence", nth).join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = _numbered(sized).join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "part")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     mass = F.round(share * UNIT).cast("long")
-    rows = rows.withColumns({"whole": F.when(F.col("size") > 0, mass.bitwiseAND(-UNIT) / UNIT).otherwise(1).cast("int"), "mass": F.when(F.col("size") > 0, mass % UNIT).otherwise(0)})
+    rows = rows.withColumns({
+        "whole": F.when(F.col("size") > 0, mass.bitwiseAND(-UNIT) / UNIT).otherwise(1).cast("int"),
+        "mass": F.when(F.col("size") > 0, mass % UNIT).otherwise(0),
+    })
     rows = stored(rows, "fractions")
-    open_ = rows.filter("mass > 0").select("source", "size", F.struct("key", "occurrence").alias("rid"), "mass")
-    ups = rounded(open_, seed=seed).select(F.col("rid.key").alias("_key"), F.col("rid.occurrence").alias("_nth"), "up")
-    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("occurrence") == F.col("_nth"))
-    return rows.join(ups, same, "left").select(
-        F.col("key").alias(key), "occurrence", "source", "size", "source_size", "target",
-        (F.col("whole") + F.coalesce("up", F.lit(0))).alias("copies"),
-    )
+    open_ = rows.filter("mass > 0").select("source", "size", F.struct("key", "h", "nth").alias("rid"), "mass")
+    ups = rounded(open_, seed=seed).select(F.col("rid.key").alias("_key"), F.col("rid.h").alias("_h"), F.col("rid.nth").alias("_nth"), "up")
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h")) & (F.col("nth") == F.col("_nth"))
+    taken = (F.col("whole") + F.coalesce("up", F.lit(0))).alias("copies")
+    return rows.join(ups, same, "left").select("key", "h", "nth", "source", "size", "source_size", "target", taken)
+
+
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
+    """``(key, occurrence, source, size, source_size, target, copies)`` for every row.
+
+    ``size`` is the number of words of the whole text (null: 0). Rows that repeat key, source
+    and text are told apart by ``occurrence``, from 1; they may stand for each other. A document
+    without words is copied once; it adds nothing to any target. Very long texts are counted
+    whole. Other columns do not matter, whatever their names. An empty table gives no rows.
+    """
+    found = _copies(docs, key, text, source, seed)
+    return found.select(F.col("key").alias(key), F.col("nth").alias("occurrence"), "source", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, all columns as they are.
 
-    The documents are shuffled once, to meet the counts of their key; rows that repeat a
-    key then take the counts in order of size and source.
+    The documents are shuffled once, to meet the copies of their key, source and text. Only
+    rows that repeat all three and do not all get the same copies are numbered once more.
     """
-    found = copies(docs, key, text, source, seed)
-    counts = found.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("occurrence", "copies"))).alias("_all"))
-    words = F.coalesce(F.size(F.regexp_extract_all(F.col(text).cast("string"), F.lit(WORD), F.lit(0))), F.lit(0))
-    met = docs.join(counts, F.col(key).eqNullSafe(F.col("_key")))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(words, source))
-    taken = met.withColumn("_nth", nth).withColumn("_n", F.element_at("_all", F.col("_nth"))["copies"])
-    return taken.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+    found = _copies(docs, key, text, source, seed)
+    groups = found.groupBy("key", "h").agg(F.min("copies").alias("least"), F.sum("copies").alias("total"), F.count("*").alias("n"))
+    # Of the n equal rows, this many are taken once more than the others.
+    groups = groups.select(F.col("key").alias("_key"), F.col("h").alias("_h"), "least", (F.col("total") - F.col("least") * F.col("n")).alias("extra"))
+    groups = stored(groups, "copies")
+    # The row is one column, so no name of its own columns can clash.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    row = F.col("row")
+    rows = whole.select("row", row[key].alias("key"), _digest(row[source], row[text]).alias("h"))
+
+    def met(which: DataFrame) -> DataFrame:
+        return rows.join(which, F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h"))).drop("_key", "_h")
+
+    taken = met(groups.filter("extra = 0")).select("row", F.col("least").alias("copies"))
+    uneven = groups.filter("extra > 0")
+    if not uneven.isEmpty():
+        some = _numbered(stored(met(uneven).withColumn("part", F.spark_partition_id()), "repeated"))
+        taken = taken.union(some.select("row", (F.col("least") + (F.col("nth") <= F.col("extra")).cast("int")).alias("copies")))
+    each = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return taken.filter("copies > 0").select("row", each).select("row.*")

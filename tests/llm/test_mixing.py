@@ -112,3 +112,33 @@ def test_mixed_corpus_of_a_table(spark, sf_small):
     want = {r.doc_id: r.copies for r in mixing.copies(docs).collect()}
     got = Counter(r.doc_id for r in mixing.mix(docs).select("doc_id").collect())
     assert {k: v for k, v in want.items() if v} == dict(got)
+
+
+def test_one_repeated_row_may_hold_a_third_and_names_may_clash(spark):
+    rows = [(None, "v w x", "a")] * 700 + [(None, None, None)] * 300 + [(i, "w " * (i % 40 + 1), "b") for i in range(1000)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    names = ("row", "key", "h", "_key", "_h", "part", "nth", "least", "extra", "copies", "copy", "size", "_all")
+    frame = frame.withColumns({k: F.concat(F.lit("mine "), F.col("source")) for k in names})
+    found = mixing.copies(frame).collect()
+    assert len(found) == len(rows)
+    want, taken = check(found, rows)
+    assert all(abs(taken[s] - want[s]) <= 40 for s in want)
+    assert len({r.occurrence for r in found if r.doc_id is None and r.size}) == 700
+    mixed = mixing.mix(frame)
+    assert mixed.columns == frame.columns
+    got = mixed.collect()
+    assert all(r[k] == (f"mine {r.source}" if r.source else None) for r in got for k in names)
+    counts = Counter()
+    for r in found:
+        counts[(r.doc_id, r.size)] += r.copies
+    assert Counter((r.doc_id, len((r.text or "").split())) for r in got) == +counts
+
+
+def test_words_of_small_sources_stay_below_their_largest_document(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    taken, want, largest = defaultdict(int), {}, defaultdict(int)
+    for r in mixing.copies(docs).collect():
+        taken[r.source] += r.copies * r.size
+        want[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r.size)
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in want)
