@@ -1,9 +1,9 @@
 """Substring dedup: repeated paragraphs by MinHash bands, exact Jaccard and components.
 
 A paragraph here is a stretch of text between two cuts that depend on nearby content only,
-so a passage is cut alike wherever it stands: after a sentence of at least five words (short
-ones go on with the next), after each line, and inside sentences of over ``LONG`` words after
-words drawn by hash. Equal paragraphs have one digest and are one node from the start. Nodes
+so a passage is cut alike wherever it stands: after a sentence or line of at least five words
+(short ones go on with the next), and inside pieces of over ``LONG`` words where the hash of
+two neighbouring words is the lowest within ``REACH`` words on either side. Equal paragraphs have one digest and are one node from the start. Nodes
 that share a band of several hashes are compared, first with the band's centre, then with each
 other where they are not yet in one component (see ``near_sets``), by the exact Jaccard
 similarity of five-word shingles; verified pairs are clustered by components. A cluster found in several documents is a repeat. Stretches of repeated paragraphs
@@ -26,7 +26,7 @@ from scoreloop.llm.common import components, stored
 from scoreloop.llm.near_sets import _ODD, bands_for, linked, salt
 from scoreloop.llm.near_sets import mix as _mix
 
-SHINGLE, LONG = 5, 48
+SHINGLE, LONG, REACH = 5, 36, 8
 # Digests that a task remembers, to send each band of equal paragraphs once.
 MEMORY = 500_000
 _LINE = "\x1e"
@@ -64,13 +64,16 @@ class Cut:
         self.hashes = digest[codes] if n else np.zeros(0, np.uint64)
         last = np.ones(n, bool)
         last[:-1] = doc[1:] != doc[:-1]
-        hard = breaks | last
-        ends = np.flatnonzero((stops[codes] if n else np.zeros(0, bool)) | hard)
+        ends = np.flatnonzero((stops[codes] if n else np.zeros(0, bool)) | breaks | last)
         lengths = np.diff(ends, prepend=-1)
         cuts = np.zeros(n, bool)
-        cuts[ends[(lengths >= SHINGLE) | hard[ends]]] = True
-        long = np.repeat(lengths > LONG, lengths)
-        cuts |= long & (_mix(self.hashes) % np.uint64(24) == 0)
+        ends = ends[(lengths >= SHINGLE) | last[ends]]
+        cuts[ends] = True
+        lengths = np.diff(ends, prepend=-1)
+        # Within such a piece, not so close to its ends that what is cut off could match nothing.
+        long, at = np.repeat(lengths > LONG, lengths), np.arange(n)
+        inner = (at - np.repeat(ends - lengths, lengths) >= SHINGLE) & (np.repeat(ends, lengths) - at >= SHINGLE)
+        cuts |= long & inner & self._lowest(doc)
         to = np.flatnonzero(cuts) + 1
         self.first = np.concatenate(([0], to[:-1])).astype(np.int64) if len(to) else np.zeros(0, np.int64)
         self.words = to - self.first
@@ -81,7 +84,7 @@ class Cut:
         rolled = np.zeros(n, np.uint64)
         for k in range(SHINGLE):
             part = np.zeros(n, np.uint64)
-            part[: n - k] = self.hashes[k:]
+            part[: max(0, n - k)] = self.hashes[k:]
             rolled = _mix(rolled * _ODD[0] + part)
         inside = np.repeat(to - SHINGLE, self.words) >= np.arange(n)
         self.shingles = np.where(inside, rolled, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -89,6 +92,18 @@ class Cut:
         mixed = _mix(self.hashes + (places.astype(np.uint64) + np.uint64(1)) * _ODD[0])
         self.digest = _mix(np.add.reduceat(mixed, self.first) + self.words.astype(np.uint64)) if n else np.zeros(0, np.uint64)
 
+    def _lowest(self, doc: np.ndarray) -> np.ndarray:
+        """Words whose pair with the word before has the lowest hash among its neighbours in the text."""
+        before = np.roll(self.hashes, 1)
+        before[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
+        pair = _mix(self.hashes * _ODD[0] + before)
+        low = np.ones(len(doc), bool)
+        for k in range(1, min(REACH, len(doc) - 1) + 1):
+            other = doc[k:] != doc[:-k]
+            low[k:] &= other | (pair[k:] < pair[:-k])
+            low[:-k] &= other | (pair[:-k] < pair[k:])
+        return low
+
     def minima(self, k: int) -> np.ndarray:
         """The smallest shingle of each paragraph under the k-th hash (paragraphs of five words or more)."""
         top = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -117,7 +132,7 @@ def repeats(docs: DataFrame, similarity: float = 0.8, run_words: int = 24, recal
     that holds one of its cluster is another document. A stretch whose paragraphs differ in
     that gives a run for each part; ``run_words`` holds for the whole stretch, so a part may
     be shorter. ``first_id`` is the smallest such key of the run's paragraphs. Paragraphs
-    under five words match nothing; repeats inside one document alone are no repeats. Null
+    under five words match nothing, and go with the repeats on both sides of them; repeats inside one document alone are no repeats. Null
     keys and null texts take no part; rows that repeat a key count as one document; 64-bit
     digests stand for paragraphs. An empty table gives no rows.
     """
@@ -192,10 +207,10 @@ def repeats(docs: DataFrame, similarity: float = 0.8, run_words: int = 24, recal
     repeated = spans.select("h", "cluster").join(whole, "cluster").select("h", "first_id")
     hits = found.join(repeated, "h")
     hits = hits.withColumn("removed", F.col("first_id") < F.col("key"))
-    # Paragraphs that follow each other without a gap make a stretch; a run is a part of it that stays or goes as a whole.
+    # Paragraphs that follow each other make a stretch, and what lies between may be pieces too short to match; a run is a part of it that stays or goes as a whole.
     order = Window.partitionBy("key").orderBy("start", "words", "removed", "h")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.coalesce(F.col("start") > F.lag(F.col("start") + F.col("words")).over(order), F.lit(True))
+    gap = F.coalesce(F.col("start") >= F.lag(F.col("start") + F.col("words") + SHINGLE).over(order), F.lit(True))
     turn = F.coalesce(F.col("removed") != F.lag("removed").over(order), F.lit(True))
     marked = hits.withColumns({"gap": gap, "fresh": gap | turn})
     marked = marked.withColumns({"stretch": F.sum(F.col("gap").cast("int")).over(so_far), "run": F.sum(F.col("fresh").cast("int")).over(so_far)})

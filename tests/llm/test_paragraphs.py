@@ -17,13 +17,15 @@ def prose(rng, sentences):
 
 
 def brute_cut(text):
-    """(start, words) of each paragraph without cuts inside long sentences."""
+    """(start, words) of each paragraph without cuts inside pieces of over 36 words."""
     words, ends = [], []
     for line in (text or "").lower().split("\n"):
         own = line.split()
         for k, w in enumerate(own):
             words.append(w)
-            ends.append("hard" if k == len(own) - 1 else "soft" if w[-1] in ".!?" else "")
+            ends.append("soft" if k == len(own) - 1 or w[-1] in ".!?" else "")
+    if ends:
+        ends[-1] = "hard"
     out, start, sentence = [], 0, 0
     for i, e in enumerate(ends):
         if e:
@@ -136,3 +138,41 @@ def test_similar_members_meet_although_their_centre_is_another(spark):
     found = paragraphs.repeats(spark.createDataFrame(rows, SCHEMA)).collect()
     got = {r.doc_id for r in found if r.removed and r.first_id == r.doc_id - 1000}
     assert len(got) >= 297
+
+
+def test_cuts_of_a_text_do_not_depend_on_its_batch():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(["ab", "cd", "ef", "gh", "ij", "kl"], k=rng.choice([1, 3, 30, 400]))).encode() for _ in range(40)]
+    together = Cut(texts)
+    alone = [Cut([t]) for t in texts]
+    assert together.digest.tolist() == [d for c in alone for d in c.digest.tolist()]
+    # Long texts without stops or lines are cut too, and short lines one after another.
+    assert max(together.words) < 200 and len(Cut([b"a b c\nd e f\n" + b"\n".join(b"w%d x%d" % (i, i) for i in range(200))]).words) > 5
+
+
+def test_recall_of_repeated_windows(spark, sf_small):
+    """Against every 51-word window that two documents share: stretches half covered, and words."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    words = {r.doc_id: [w for w in (r.text or "").lower().split()] for r in docs.collect()}
+    where = {}
+    for doc, own in words.items():
+        for at in range(len(own) - 50):
+            where.setdefault(tuple(own[at : at + 51]), set()).add(doc)
+    repeated = {doc: set() for doc in words}
+    for doc, own in words.items():
+        for at in range(len(own) - 50):
+            if len(where[tuple(own[at : at + 51])]) > 1:
+                repeated[doc].update(range(at, at + 51))
+    covered = {doc: set() for doc in words}
+    for r in paragraphs.repeats(docs).collect():
+        covered[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    stretches = []
+    for doc, at in repeated.items():
+        for w in sorted(at):
+            if w - 1 in at:
+                stretches[-1].append((doc, w))
+            else:
+                stretches.append([(doc, w)])
+    shares = [sum(w in covered[doc] for doc, w in s) / len(s) for s in stretches]
+    assert stretches and sum(s >= 0.5 for s in shares) / len(shares) >= 0.9
+    assert sum(w in covered[doc] for s in stretches for doc, w in s) / sum(map(len, stretches)) >= 0.9
