@@ -200,10 +200,10 @@ SCORED = f"""select replace(lower(email), '@', '_') || '__' || strftime(ts, '%Y-
       {r('weight_kg / (height_m * height_m)')} as bmi from log"""
 
 
-def draws(n: int) -> list[tuple[int, int, int]]:
-    """The first seeded draws from the ranges 50-500, 3-20 and 1-10."""
+def draws(n: int) -> list[tuple[int, int, int, int]]:
+    """The first seeded draws from the ranges 50-500, 3-20, 2-10 and 1-10."""
     rng = random.Random(42)
-    return [(rng.randint(50, 500), rng.randint(3, 20), rng.randint(1, 10)) for _ in range(n)]
+    return [(rng.randint(50, 500), rng.randint(3, 20), rng.randint(2, 10), rng.randint(1, 10)) for _ in range(n)]
 
 
 def train_test() -> str:
@@ -509,9 +509,9 @@ ORACLE: dict[str, str] = {
         select distinct split_part(row_key, '-', 1)::bigint * 10 + split_part(row_key, '-', 2)::bigint as place from training),
       folds as (select (ntile(3) over (order by place) - 1)::int as fold from places)
       select 0 as trial, fold, count(*) as n, true as good from folds group by fold""",
-    "search_trials": union(
-        f"select {i} as trial, {t} as trees, {d} as depth, {leaf} as min_leaf, true as good" for i, (t, d, leaf) in enumerate(draws(2))
-    ),
+    "search_trials": f"with {TRAINING}, drawn as (" + union(
+        f"select {i} as trial, {t} as trees, {d} as depth, {split} as min_split, {leaf} as min_leaf" for i, (t, d, split, leaf) in enumerate(draws(30))
+    ) + ") select drawn.*, (select count(*) from training) as n, true as best_is_top, true as good from drawn",
     "tune_and_refit": f"with {TRAINING} select count(*) as n, 20 as best_depth, true as good from training",
     "training_report": f"""with {TRAINING}, {SPLIT} select 'y' as target, (select count(*) from training) as n_rows,
       9 as n_features_before, split, count(*) as n, true as good from parts group by split""",
