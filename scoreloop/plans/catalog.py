@@ -857,7 +857,7 @@ def search_trials(spark, sf):
     """The whole search: 30 draws with all their parameters, three folds each, every row scored by each."""
     df = split.hash_folds(fx.training_set(spark, sf), fx.KEY)
     table, best = forest.search(
-        df, fx.LABEL, fx.NUMERIC, fx.CATEGORICAL, trials=forest.random_trials(), fit_rows=500, partitions=2, parallelism=8
+        df, fx.LABEL, fx.NUMERIC, fx.CATEGORICAL, trials=forest.random_trials(), fit_rows=150, partitions=1, parallelism=8
     )
     top = table.agg(F.max("mean_r2")).scalar()
     drawn = [F.element_at("params", name).cast("int").alias(name) for name in ("trees", "depth", "min_split", "min_leaf")]
