@@ -510,7 +510,7 @@ ORACLE: dict[str, str] = {
       folds as (select (ntile(3) over (order by place) - 1)::int as fold from places)
       select 0 as trial, fold, count(*) as n, true as good from folds group by fold""",
     "search_trials": f"with {TRAINING}, drawn as (" + union(
-        f"select {i} as trial, {t} as trees, {d} as depth, {split} as min_split, {leaf} as min_leaf" for i, (t, d, split, leaf) in enumerate(draws(30))
+        f"select {i} as trial, {t} as trees, {d} as depth, {split} as min_split, {leaf} as min_leaf" for i, (t, d, split, leaf) in enumerate(draws(2) + [(t // 2, d, 10, leaf) for t, d, _, leaf in draws(2)])
     ) + ") select drawn.*, (select count(*) from training) as n, true as best_is_top, true as good from drawn",
     "tune_and_refit": f"with {TRAINING} select count(*) as n, 20 as best_depth, true as good from training",
     "training_report": f"""with {TRAINING}, {SPLIT} select 'y' as target, (select count(*) from training) as n_rows,
