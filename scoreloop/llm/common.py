@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloop.session import scratch_dir
+from scoreloop.session import stored
 
 # Fixed value: what counts as a word, in Java's pattern syntax.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,17 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
-
-    Cuts the lineage: a lost executor later costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = scratch_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key() -> Column:
     """A key per row of a scan, so that repeated ids do not mix."""
     return F.monotonically_increasing_id()

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from scoreloop.functions.vocabulary import PREDICTED, REAL
-from scoreloop.operators.forest import cross_validate, fit_numeric_baseline, random_trials, search, split_metrics
+from scoreloop.operators.forest import cross_validate, fit_numeric_baseline, fit_sample, random_trials, search, split_metrics
 from scoreloop.operators.prep import (
     feature_table, fit_transform, impute, one_hot_wide, standard_scale, vocabularies,
 )
@@ -91,6 +91,20 @@ def test_baseline_and_split_metrics(people):
     assert sum(r["n"] for r in got) == people.count()
 
 
+@pytest.mark.parametrize("keyed", [True, False])
+def test_fit_rows_are_drawn_one_by_one(spark, keyed):
+    """Few kinds of rows, each many times: the sample holds its share of every kind, not all or none of one."""
+    kind = F.col("id") % 30
+    df = spark.range(30_000).select("id", kind.cast("double").alias("x"), (kind * kind).cast("double").alias("y"))
+    df = df if keyed else df.drop("id")
+    got = {r["x"]: r["count"] for r in fit_sample(df, ["x", "y"], rows=600, partitions=4).groupBy("x").count().collect()}
+    assert len(got) == 30 and 450 <= sum(got.values()) <= 750 and max(got.values()) <= 60
+    again = fit_sample(df.repartition(7), ["x", "y"], rows=600, partitions=4)
+    assert {r["x"]: r["count"] for r in again.groupBy("x").count().collect()} == got
+    model = fit_numeric_baseline(df, "y", ["x"], fit_rows=600, partitions=4)
+    assert split_metrics(model.transform(df.withColumn("split", F.lit("all"))), "y").first()["r2"] > 0.98
+
+
 def test_cross_validation_and_search(people, tmp_path):
     folded = hash_folds(people, "id")
     scores = cross_validate(folded, "y", [SMALL, {"trees": 1, "depth": 1}], NUM, CAT, parallelism=2)
