@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
+from scoreloop.functions import normalise_email, truncate_to_second
 from scoreloop.operators.quality import REQUEST_RULES, split_valid
 from scoreloop.plans.scoring import score_records
 from scoreloop.streaming.batches import without_repeats
@@ -17,7 +18,7 @@ REQUEST_SCHEMA = (
     "max_bpm int, avg_bpm int, resting_bpm int, session_duration_hours double, calories_burned double, "
     "workout_type string, water_intake_liters double, workout_frequency_days_week int, experience_level string"
 )
-# What tells requests apart.
+# What tells scored requests apart: the parts of a prediction's id.
 REQUEST_KEY = ("email", "timestamp")
 
 
@@ -34,13 +35,16 @@ def score_stream(
 
     The file sink and the checkpoint make each row of the source appear in the log exactly
     once. A source that itself repeats rows needs ``distinct_within`` (see
-    ``without_repeats``): requests of one email and time are scored once; otherwise no
+    ``without_repeats``): of valid requests with one prediction id (email and second) the first is
+    scored, and equal invalid ones are set aside once, so neither hides the other; otherwise no
     state is kept and there is no watermark.
     """
-    if distinct_within:
-        requests = without_repeats(requests, REQUEST_KEY, "timestamp", distinct_within)
     trigger = trigger or {"availableNow": True}
     valid, invalid = split_valid(requests, REQUEST_RULES)
+    if distinct_within:
+        named = valid.withColumns({"email": normalise_email("email"), "timestamp": truncate_to_second("timestamp")})
+        valid = without_repeats(named, REQUEST_KEY, "timestamp", distinct_within)
+        invalid = without_repeats(invalid, requests.columns, "timestamp", distinct_within)
 
     def start(df: DataFrame, path: str, state: str) -> StreamingQuery:
         return (

@@ -41,6 +41,20 @@ def test_score_stream(spark, tmp_path):
     assert [r["reasons"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [["age_domain"]]
 
 
+def test_repeats_share_a_prediction_id(spark, tmp_path):
+    """One row per id: of one second, in any spelling of the email; a broken request hides no valid one."""
+    model = request_model(spark)
+    late, other = T0.replace(microsecond=700_000), T0 + timedelta(seconds=1)
+    rows = requests(spark, {"age": 500}, {"age": 501}, {}, {"timestamp": late}, {"email": " T@E.COM "}, {"timestamp": other}).coalesce(1)
+    rows.unionByName(rows).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = read_requests(spark, str(tmp_path / "in"))
+    finish(score_stream(stream, model, str(tmp_path / "log"), str(tmp_path / "cp"), str(tmp_path / "bad"), distinct_within="1 day"))
+    names = requests(spark, {}, {"timestamp": other})
+    want = sorted(r["prediction_id"] for r in score_records(names, model).collect())
+    assert sorted(r["prediction_id"] for r in spark.read.parquet(str(tmp_path / "log")).collect()) == want
+    assert sorted(r["age"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == [500, 501]
+
+
 def test_feedback_stream_equals_batch(spark, tmp_path):
     rng = random.Random(7)
     writes = spark.createDataFrame(
