@@ -105,6 +105,21 @@ def test_fit_rows_are_drawn_one_by_one(spark, keyed):
     assert split_metrics(model.transform(df.withColumn("split", F.lit("all"))), "y").first()["r2"] > 0.98
 
 
+def test_folds_are_worked_out_once(spark, people):
+    """However many passes cross-validation takes, the plan of its rows runs once."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = hash_folds(people, "id").cache()
+    schema, n = rows.schema, rows.count()
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    scores = cross_validate(rows.mapInArrow(counted, schema), "y", [{"trees": 1, "depth": 1}], NUM, CAT)
+    assert scores.agg(F.sum("n")).first()[0] == seen.value == n
+
+
 def test_cross_validation_and_search(people, tmp_path):
     folded = hash_folds(people, "id")
     scores = cross_validate(folded, "y", [SMALL, {"trees": 1, "depth": 1}], NUM, CAT, parallelism=2)
