@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloop.llm import mixing, near_sets, packing, pii, quality
+from scoreloop.llm import mixing, near_sets, packing, pii, quality, simhash
 from scoreloop.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,8 +20,12 @@ def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8) stays: the one with the smallest id."""
-    return near_sets.keep_first(docs)
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Documents that SimHash (operator 8) puts together are checked by the Jaccard similarity (0.8) of their sets of five-word
+    shingles, as are those that share a MinHash band, for near copies of further fingerprints.
+    """
+    return near_sets.keep_first(docs, also=simhash.near_duplicates)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

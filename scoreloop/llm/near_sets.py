@@ -10,7 +10,7 @@ and a band of unlike sets never makes a row per pair.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -199,7 +199,10 @@ def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return rolled[keep], np.concatenate(([0], np.cumsum(keep)))[begin]
 
 
-def keep_first(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, band_rows: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(
+    docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, band_rows: int = 6, key: str = "doc_id", text: str = "text",
+    also: Callable[[DataFrame, str, str], DataFrame] | None = None,
+) -> DataFrame:
     """One row of each group of near copies; all columns as they are.
 
     Two texts are linked where their sets of five-word shingles have a Jaccard similarity of
@@ -208,6 +211,9 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999,
     with the smallest key stays (null keys last), then by the text's hash, then the smallest
     row, so repeated keys and repeated rows leave one row too. Texts without words are copies
     of each other. 64-bit hashes stand for shingles, sets and texts.
+
+    ``also`` is another way to find candidates: given rows and the names of their key and text it
+    returns the key with a ``component_id``, and rows of one component are compared like those of a band.
     """
     bands = bands_for(similarity, recall, band_rows)
     halves = -(-bands * band_rows // 2)
@@ -268,6 +274,10 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999,
     classes = signed.groupBy("h").agg(F.min(order).alias("least"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
     shared = classes.select("h", F.explode("bands").alias("band"))
+    if also:
+        found = also(rows.select("tag", "text"), "tag", "text").select("tag", F.xxhash64(F.lit("also"), "component_id").alias("band"))
+        more = signed.select("tag", "h").join(found.distinct(), "tag").select("h", "band").distinct()
+        shared = stored(shared.union(more), "shared")
     # One order for all bands, so that a group mostly has one centre.
     centre = F.struct(F.xxhash64("h").alias("x"), "h")
     centres = shared.groupBy("band").agg(F.min(centre)["h"].alias("centre"), F.min("h").alias("low"), F.max("h").alias("high"))

@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from scoreloop.llm import near_sets
+from scoreloop.llm import near_sets, simhash
 from scoreloop.llm.near_sets import linked, shingles
 
 SCHEMA = "doc_id long, text string, n int"
@@ -60,6 +60,20 @@ def test_planted_near_copies_go(spark):
     assert len(got) - len(want) <= 1
 
 
+def test_the_stage_checks_what_fingerprints_put_together(spark, monkeypatch):
+    """With bands that find next to nothing, operator 8 still brings near copies together; its unlike pairs stay."""
+    words = [f"word{i}" for i in range(900)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, "x " * 400 + "a b c d e f"), (4, "x " * 400 + "a c e b d f g")]
+    frame = spark.createDataFrame([(k, t, 1) for k, t in rows], SCHEMA)
+    component = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
+    assert component == {1: 1, 2: 1, 3: 3, 4: 3} and brute_kept(rows) == {1, 3, 4}
+    monkeypatch.setattr(near_sets, "bands_for", lambda *_: 1)
+    plain, whole = near_sets.keep_first, {"band_rows": 2000}
+    assert {r.doc_id for r in plain(frame, **whole).collect()} == {1, 2, 3, 4}
+    monkeypatch.setattr(near_sets, "keep_first", lambda docs, **more: plain(docs, **whole, **more))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == {1, 3, 4}
+
+
 def test_kept_rows_of_real_documents(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
