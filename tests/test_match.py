@@ -179,3 +179,22 @@ def test_metric_edges(spark):
     assert bias_metrics(df, "y", "p").first()["bias"] == pytest.approx((1 + 2 - 1) / 3)
     assert bias_metrics(df.limit(0), "y", "p").count() == 0
     assert user_errors(df, "y", "p").count() == 3
+
+
+def test_tasks_stay_small_whatever_the_partitions(spark):
+    """Few shuffle partitions do not make large tasks: there are as many as the advisory size wants."""
+    from scoreloop.session import configure
+
+    conf = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        configure(spark)
+        rows = spark.range(40_000).select(F.col("id").alias("user_id"), F.lit("a").alias("email"), F.rand(1).alias(PREDICTED), F.rand(2).alias(REAL))
+        sums = matched_sums(rows.drop(REAL), rows.drop(PREDICTED))
+        sizes = sums.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in sizes) == 40_000 and len(sizes) > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
