@@ -109,6 +109,21 @@ class Cut:
         top = np.uint64(0xFFFFFFFFFFFFFFFF)
         return np.minimum.reduceat(np.where(self.shingles == top, top, _mix(self.shingles ^ salt(k))), self.first)
 
+    def matchable(self, similarity: float) -> np.ndarray:
+        """Paragraphs that a different one can be similar to.
+
+        Without a word twice, n shingles stand in one order only, so that a different paragraph has
+        another set; the most similar one has one shingle more, and n of n + 1 may be too few.
+        """
+        n = self.words - SHINGLE + 1
+        short = (n > 0) & (n < similarity * (n + 1))
+        owner = np.repeat(np.arange(len(n)), self.words)
+        at = np.flatnonzero(short[owner])
+        at = at[np.lexsort((self.hashes[at], owner[at]))]
+        twice = (owner[at[1:]] == owner[at[:-1]]) & (self.hashes[at[1:]] == self.hashes[at[:-1]])
+        short[owner[at[1:][twice]]] = False
+        return (n > 0) & ~short
+
 
 def _texts(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[tuple[int, list[bytes | None]]]:
     """The texts of the second column in groups of about ``size`` bytes, with the first one's row."""
@@ -123,6 +138,17 @@ def _texts(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[tuple[int, li
         yield at, held
 
 
+def _star(shared: DataFrame) -> DataFrame:
+    """``(band, h, centre)`` for each member of a band that is not its centre, from ``(band, h)``.
+
+    Bands are dealt out by themselves first: in one step with the window, the struct that orders
+    them would go through the shuffle too, and make its rows more than twice as wide.
+    """
+    # Every band has a centre of its own, so that two bands of the same nodes differ in it.
+    centre = F.min(F.struct(F.xxhash64("band", "h"), "h")).over(Window.partitionBy("band"))["h"]
+    return shared.repartition("band").withColumn("centre", centre).filter("h <> centre").distinct()
+
+
 def repeats(docs: DataFrame, similarity: float = 0.8, run_words: int = 24, recall: float = 0.99, band_rows: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, start_word, n_words, first_id, removed)``: each run of repeated paragraphs.
 
@@ -145,11 +171,9 @@ def repeats(docs: DataFrame, similarity: float = 0.8, run_words: int = 24, recal
             for at, texts in _texts(batch):
                 c = Cut(texts)
                 keep = c.words >= SHINGLE
-                first = np.flatnonzero(np.diff(c.doc, prepend=-1))
-                nth = np.arange(len(c.doc)) - np.repeat(first, np.diff(first, append=len(c.doc)))
                 keys = batch.column(0).take(pa.array(at + c.doc[keep]))
-                cols = [c.digest.view(np.int64), nth.astype(np.int32), c.start.astype(np.int32), c.words.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([keys, *(pa.array(v[keep]) for v in cols)], names=["key", "h", "nth", "start", "words"])
+                cols = [c.digest.view(np.int64), c.start.astype(np.int32), c.words.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(v[keep]) for v in cols)], names=["key", "h", "start", "words"])
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -157,7 +181,7 @@ def repeats(docs: DataFrame, similarity: float = 0.8, run_words: int = 24, recal
             for _, texts in _texts(batch):
                 c = Cut(texts)
                 _, once = np.unique(c.digest, return_index=True)
-                once = once[c.words[once] >= SHINGLE]
+                once = once[c.matchable(similarity)[once]]
                 fresh = [i for i, h in zip(once.tolist(), c.digest[once].tolist()) if h not in sent]
                 if len(sent) > MEMORY:
                     sent.clear()
@@ -186,11 +210,9 @@ def repeats(docs: DataFrame, similarity: float = 0.8, run_words: int = 24, recal
                             sets.append(np.unique(c.shingles[c.first[i] : c.first[i] + c.words[i] - SHINGLE + 1]).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["h", "items"])
 
-    found = stored(rows.mapInArrow(cut, f"key {kind}, h long, nth int, start int, words int"), "paragraphs")
+    found = stored(rows.mapInArrow(cut, f"key {kind}, h long, start int, words int"), "paragraphs")
     shared = rows.mapInArrow(band, "band long, h long")
-    # Every band has a centre of its own, so that two bands of the same nodes differ in it.
-    centre = F.min(F.struct(F.xxhash64("band", "h"), "h")).over(Window.partitionBy("band"))["h"]
-    star = stored(shared.withColumn("centre", centre).filter("h <> centre").distinct(), "star")
+    star = stored(_star(shared), "star")
     nodes = star.select("h").union(star.select("centre")).distinct()
     # One place of each node, and its shingles from there.
     place = F.min(F.struct("key", "start", "words")).alias("p")

@@ -150,6 +150,52 @@ def test_cuts_of_a_text_do_not_depend_on_its_batch():
     assert max(together.words) < 200 and len(Cut([b"a b c\nd e f\n" + b"\n".join(b"w%d x%d" % (i, i) for i in range(200))]).words) > 5
 
 
+def test_bands_are_dealt_out_by_themselves(spark, monkeypatch):
+    """Nothing but bands and digests goes through the widest shuffle."""
+    plans, write = {}, paragraphs.stored
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(paragraphs, "stored", watched)
+    rng = random.Random(9)
+    paragraphs.repeats(spark.createDataFrame([(i, prose(rng, 3)) for i in range(20)], SCHEMA))
+    before, _, sent = plans["star"].partition("Exchange hashpartitioning(band")
+    assert "Window" in before and "Exchange" not in before
+    assert "MapInArrow" in sent and "xxhash64" not in sent
+
+
+def test_paragraphs_left_out_of_bands_are_similar_to_no_other():
+    rng = random.Random(10)
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    cut = lambda w, s: Cut([" ".join(w).encode()]).matchable(s).tolist()
+    assert cut("a b c d".split(), 0.8) == [False] and cut("a b c d e f g".split(), 0.8) == [False]
+    # Eight words have four shingles of the five of nine; what repeats a word may stand in another order.
+    assert cut("a b c d e f g h".split(), 0.8) == [True] and cut("a b c d e f g h".split(), 0.81) == [False]
+    assert cut("a a a a a".split(), 0.8) == cut("a b a b a b".split(), 1.0) == [True]
+    checked = 0
+    for _ in range(6000):
+        s = rng.choice([0.5, 0.7, 0.8, 0.9, 1.0])
+        one = rng.sample("abcdefghijkl", k=rng.randint(5, 11)) if rng.random() < 0.5 else rng.choices("abc", k=rng.randint(5, 9))
+        two = list(one)
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randint(0, len(two))
+            two[at : at + rng.randint(0, 1)] = rng.choices("abcdefghijklm", k=rng.randint(0, 2))
+        if rng.random() < 0.3:
+            two = one + one[: rng.randint(1, 3)]
+        if len(two) < 5 or one == two:
+            continue
+        a, b = sets(one), sets(two)
+        if len(a & b) >= s * len(a | b):
+            assert cut(one, s) == cut(two, s) == [True]
+            checked += 1
+    assert checked > 300
+    # In one batch each paragraph is judged by its own words.
+    c = Cut([b"a b c d e", b"a b c d e", b"p q p q p", b"a b c d e f g h i"])
+    assert c.matchable(0.8).tolist() == [False, False, True, True]
+
+
 def test_recall_of_repeated_windows(spark, sf_small):
     """Against every 51-word window that two documents share: stretches half covered, and words."""
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
