@@ -19,7 +19,7 @@ from scoreloop.session import scratch_dir
 @pytest.fixture(scope="module")
 def rows(spark):
     i = F.col("id")
-    df = spark.range(6000).select("id", (i * 7919 % 29).cast("double").alias("a"), (i * 104729 % 997 / 10.0).alias("b"), F.when(i % 50 == 0, float("nan")).otherwise(i % 13).alias("c"))
+    df = spark.range(6000).select("id", (i * 7919 % 29).cast("double").alias("a"), (i * 104729 % 997 / 10.0).alias("b"), (i % 13).cast("double").alias("c"))
     df = df.withColumn("y", F.sin("a") * 5 + F.col("b") / 20 + F.col("id") % 3).withColumn("fold", (F.hash("id") % 3 + 3) % 3)
     return VectorAssembler(inputCols=["a", "b", "c"], outputCol="features", handleInvalid="keep").transform(df).cache()
 
@@ -120,6 +120,9 @@ def test_labels_are_needed(spark, rows):
         ground(spark, rows.withColumn("y", F.when(F.col("id") > 5, F.col("y"))))
     with pytest.raises(ValueError, match="label"):
         ground(spark, rows.limit(0))
+    gaps = rows.drop("features").withColumn("a", F.when(F.col("id") > 5, F.col("a")))
+    with pytest.raises(ValueError, match="feature"):
+        fit_whole(gaps, "y", ["a", "b"], trees=1)
 
 
 def training_rows(spark, label, n, a, b, c):
